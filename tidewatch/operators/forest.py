@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..schema import FEATURES, SAMPLE_SIZE, SEED, TREES
 from ..staging import spread
 from .sampling import tree_samples
-from .scaling import model_vector
+from .scaling import steady_vector
 
 EULER_GAMMA = 0.5772156649015329
 ROWS_PER_BLOCK = 5_000
@@ -122,7 +122,7 @@ class Forest:
         columns = self.score_columns()
         score = _scorer(features, self, columns)
         features = spread(features, self.rows)
-        scored = features.withColumn("_scores", score(F.struct(*model_vector(self.names))))
+        scored = features.withColumn("_scores", score(F.struct(*steady_vector(self.names))))
         return scored.withColumns({c: F.col(f"_scores.{c}") for c in columns.values()}).drop("_scores")
 
     def transform(self, features: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def fit_forest(
     if not size:
         return Forest(names, 0, 0, {share: _empty_forest() for share in shares})
     depth = max(1, ceil(log2(max(size, 2))))
-    vectors = features.select("user", "date", *model_vector(names))
+    vectors = features.select("user", "date", *steady_vector(names))
     samples = tree_samples(vectors, rows, trees, size, seed)
     shares_column = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
     # A stated number of partitions: the sample is small in bytes, but growing it is

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import FEATURES
 
-# Grain kept of fractional features, so that float noise of a sum's order cannot
-# flip a split.
-VECTOR_GRAIN = 1e9
+# Steps per unit kept of fractional features by :func:`steady_vector`.
+STEPS = 1e9
 WHOLE = (
     "logon_count", "http_requests", "device_activity_count",
     "hour", "weekday", "is_working_day", "is_off_hours",
@@ -20,13 +19,16 @@ WHOLE = (
 
 def model_vector(names: tuple[str, ...] = FEATURES) -> list[Column]:
     """The features as DOUBLE, a missing spike as 0 (no deviation)."""
-    vector = []
-    for c in names:
-        value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        if c not in WHOLE:
-            value = F.rint(value * VECTOR_GRAIN) / VECTOR_GRAIN
-        vector.append(value.alias(c))
-    return vector
+    return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
+
+
+def steady_vector(names: tuple[str, ...] = FEATURES) -> list[Column]:
+    """The model vector to nine decimals: the last bit of a sum depends on the order
+    of its parts and must not flip a tree's split. ``rint`` stays in double arithmetic."""
+    vector = model_vector(names)
+    return [
+        x if c in WHOLE else (F.rint(x * STEPS) / STEPS).alias(c) for c, x in zip(names, vector, strict=True)
+    ]
 
 
 @dataclass(frozen=True)

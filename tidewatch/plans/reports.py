@@ -160,6 +160,7 @@ def risk_score_histogram(risk: DataFrame, filters: Filters = ALL, bins: int = HI
     scores = filters.apply(risk).select("risk_score").where(F.col("risk_score").isNotNull())
     low = scores.agg(F.min("risk_score").alias("low")).scalar()
     high = scores.agg(F.max("risk_score").alias("high")).scalar()
-    # The largest score falls past the last bin; equal scores have no width at all.
-    bucket = F.coalesce(F.least(F.width_bucket("risk_score", low, high, F.lit(bins)), F.lit(bins)), F.lit(1))
+    # The largest score falls past the last bin; equal scores have no width, which gives NULL.
+    found = F.coalesce(F.width_bucket("risk_score", low, high, F.lit(bins)), F.lit(1))
+    bucket = F.least(found, F.lit(bins))
     return scores.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count")).orderBy("bucket")
