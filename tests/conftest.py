@@ -18,6 +18,8 @@ def spark():
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "4g",
+        # Plans are checked in full.
+        "spark.sql.maxMetadataStringLength": "2000",
     }
     session = build_session("tests", "local[8]", **conf)
     session.sparkContext.setLogLevel("ERROR")

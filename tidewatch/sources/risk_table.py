@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EXPORT
+from ..schema import EXPORT, MEASURES
 
-# Counts are read as DOUBLE: data-frame libraries write "3.0" once a join left gaps.
-COUNTS = ("logon_count", "http_requests", "http_bytes_sent", "http_bytes_received", "device_activity_count")
+# Counts are read as DOUBLE and cast: data-frame libraries write "3.0" once a join
+# left gaps. Byte sums stay DOUBLE, as a source may hold fractions.
 CALENDAR = ("hour", "weekday", "is_working_day", "is_off_hours")
 TEXT_TYPES = {"user": "STRING", "date": "TIMESTAMP_NTZ", "risk_level": "STRING", **dict.fromkeys(CALENDAR, "INT")}
 
@@ -39,4 +39,4 @@ def read_risk_csv(spark: SparkSession, path: str) -> DataFrame:
     """Open the 20-column CSV export as a report table."""
     schema = ", ".join(f"`{name}` {TEXT_TYPES.get(name, 'DOUBLE')}" for name in EXPORT)
     stored = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    return as_report_table(stored.withColumns({name: F.col(name).cast("bigint") for name in COUNTS}))
+    return as_report_table(stored.withColumns({name: F.col(name).cast("bigint") for name in MEASURES}))

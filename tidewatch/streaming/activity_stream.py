@@ -19,10 +19,18 @@ from ..sources.events import tag_events
 from ..staging import stage_path
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
-    """File-source stream of the event files in a folder, with the batch files' schema."""
+def event_stream(
+    spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """File-source stream of the event files in a folder, with the batch files' schema.
+
+    ``files_per_batch`` bounds a micro-batch when a long backlog is worked off.
+    """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def windowed_activity(events: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
