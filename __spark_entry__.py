@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.calendar import with_calendar
+from tidewatch.functions.calendar import calendar_columns
 from tidewatch.operators import activity as act
 from tidewatch.operators import features as feat
 from tidewatch.operators.clustering import ClusterDistance
@@ -96,7 +96,7 @@ def merged_activity_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def calendar_features(spark: SparkSession, sf: str) -> DataFrame:
     names = ("year", "month", "day", "weekday", "hour", "minute", "is_working_day", "week_of_month", "is_off_hours")
-    return with_calendar(_activity(spark, sf)).select(*KEYS, *names)
+    return _activity(spark, sf).withColumns(calendar_columns(F.col("date"))).select(*KEYS, *names)
 
 
 def user_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,12 +114,13 @@ def raw_grain_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def activity_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(feat.with_ratios(_activity(spark, sf)).select(*KEYS, "device_http_ratio", "logon_http_ratio"))
+    ratios = feat.ratio_columns()
+    return _rounded(_activity(spark, sf).withColumns(ratios).select(*KEYS, *ratios))
 
 
 def missing_flags(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = feat.with_missing_flags(_activity(spark, sf))
-    return flagged.select(*KEYS, "http_missing", "device_missing", "logon_missing")
+    flags = feat.missing_flag_columns()
+    return _activity(spark, sf).withColumns(flags).select(*KEYS, *flags)
 
 
 def logon_rolling(spark: SparkSession, sf: str) -> DataFrame:

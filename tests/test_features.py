@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions.calendar import with_calendar, weekday_name
+from tidewatch.functions.calendar import calendar_columns, weekday_name
 from tidewatch.functions.timestamps import truncate
 from tidewatch.operators.features import behaviour_features, user_baseline
 
@@ -95,7 +95,7 @@ def test_baseline_uses_the_sample_deviation(activity_of):
 )
 def test_calendar_edges(spark, stamp, weekday, working, off, week):
     df = spark.sql(f"SELECT TIMESTAMP_NTZ '{stamp}' AS date")
-    (row,) = with_calendar(df).collect()
+    (row,) = df.withColumns(calendar_columns(F.col("date"))).collect()
     assert (row.weekday, row.is_working_day, row.is_off_hours, row.week_of_month) == (weekday, working, off, week)
 
 

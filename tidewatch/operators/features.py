@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.calendar import with_calendar
+from ..functions.calendar import calendar_columns
 from ..functions.timestamps import truncate
 from ..schema import MEASURES, SPIKES
 
@@ -27,12 +27,11 @@ def _history_by_window(activity: DataFrame) -> DataFrame:
     """Baseline and rolling mean from one shuffle and one sort by user and date."""
     by_user = W.partitionBy("user")
     trailing = by_user.orderBy("date").rowsBetween(1 - ROLLING_ROWS, 0)
-    rolled = activity.withColumn("logon_rolling_3", F.avg("logon_count").over(trailing))
-    stats: dict[str, Column] = {}
+    columns = {"logon_rolling_3": F.avg("logon_count").over(trailing)}
     for c in MEASURES:
-        stats[f"{c}_mean"] = F.avg(c).over(by_user)
-        stats[f"{c}_std"] = F.stddev_samp(c).over(by_user)
-    return rolled.withColumns(stats)
+        columns[f"{c}_mean"] = F.avg(c).over(by_user)
+        columns[f"{c}_std"] = F.stddev_samp(c).over(by_user)
+    return activity.withColumns(columns)
 
 
 def _history_by_chunk(activity: DataFrame, chunk: str) -> DataFrame:
@@ -101,42 +100,44 @@ def _history_by_chunk(activity: DataFrame, chunk: str) -> DataFrame:
 
 
 def with_history(activity: DataFrame, chunk: str | None = None) -> DataFrame:
-    """Add per-user ``*_mean``, ``*_std``, ``logon_rolling_3`` and ``logon_delta``.
+    """Add per-user ``*_mean``, ``*_std`` and ``logon_rolling_3``.
 
     At the hour or day grain the calendar bounds a user to 8,784 or 366 rows a
     year, so windows by user are safe however many raw events the user has. At the
     raw grain nothing bounds them: pass ``chunk`` ('hour' or 'day').
     """
-    df = _history_by_chunk(activity, chunk) if chunk else _history_by_window(activity)
-    return df.withColumn("logon_delta", F.col("logon_count") - F.col("logon_rolling_3"))
+    return _history_by_chunk(activity, chunk) if chunk else _history_by_window(activity)
 
 
-def with_spikes(df: DataFrame) -> DataFrame:
+def spike_columns() -> dict[str, Column]:
     """z-scores; NULL where the deviation is unknown (one row) or zero (constant user)."""
-    return df.withColumns(
-        {
-            spike: F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std"))
-            for spike, c in zip(SPIKES, MEASURES, strict=True)
-        }
-    )
+    return {
+        spike: F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std"))
+        for spike, c in zip(SPIKES, MEASURES, strict=True)
+    }
 
 
-def with_ratios(df: DataFrame) -> DataFrame:
+def ratio_columns() -> dict[str, Column]:
     requests = F.col("http_requests") + 1
-    return df.withColumns(
-        {
-            "device_http_ratio": F.col("device_activity_count") / requests,
-            "logon_http_ratio": F.col("logon_count") / requests,
-        }
-    )
+    return {
+        "device_http_ratio": F.col("device_activity_count") / requests,
+        "logon_http_ratio": F.col("logon_count") / requests,
+    }
 
 
-def with_missing_flags(df: DataFrame) -> DataFrame:
+def missing_flag_columns() -> dict[str, Column]:
     flags = {"http_missing": "http_requests", "device_missing": "device_activity_count", "logon_missing": "logon_count"}
-    return df.withColumns({flag: (F.col(c) == 0).cast("int") for flag, c in flags.items()})
+    return {flag: (F.col(c) == 0).cast("int") for flag, c in flags.items()}
 
 
 def behaviour_features(activity: DataFrame, chunk: str | None = None) -> DataFrame:
     """All feature columns; a caller's ``select`` prunes the ones it does not use."""
-    df = with_spikes(with_history(activity, chunk))
-    return with_missing_flags(with_ratios(with_calendar(df)))
+    return with_history(activity, chunk).withColumns(
+        {
+            "logon_delta": F.col("logon_count") - F.col("logon_rolling_3"),
+            **spike_columns(),
+            **ratio_columns(),
+            **calendar_columns(F.col("date")),
+            **missing_flag_columns(),
+        }
+    )

@@ -33,7 +33,11 @@ class _Span:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], in_task: int = IN_TASK_VALUES
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    in_task: int = IN_TASK_VALUES,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns, NULLs ignored.
 
@@ -43,10 +47,13 @@ def exact_quantiles(
     aggregations with partial aggregation and shrinks the bracket several thousand
     times; ``df`` should therefore be a staged table. Only counts and bracket ends
     come to the driver, and the result is exact whatever the sketch's error.
+    ``rows``, if known, saves counting a table that is small anyway.
     """
     df = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    sizes = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
-    if max(sizes.values()) <= in_task:
+    if rows is None or rows > in_task:
+        sizes = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
+        rows = max(sizes.values())
+    if rows <= in_task:
         wanted = F.array(*(F.lit(float(p)) for p in probs))
         row = df.agg(*(F.percentile(c, wanted).alias(c) for c in columns)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}

@@ -14,7 +14,7 @@ from ..operators.features import behaviour_features
 from ..operators.quantiles import exact_quantiles
 from ..operators.scorers import Scorer, ZScore
 from ..schema import CONTAMINATION, EXPORT, FEATURES, HIGH_QUANTILE, KEYS, MEDIUM_QUANTILE
-from ..staging import stage
+from ..staging import stage, stage_counted
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,11 @@ def features_of(log: DataFrame, grain: str) -> DataFrame:
     return behaviour_features(activity)
 
 
-def find_thresholds(scored: DataFrame, contamination: float, centred: bool) -> Thresholds:
+def find_thresholds(scored: DataFrame, rows: int, contamination: float, centred: bool) -> Thresholds:
     """Level and contamination cuts as exact quantiles of a staged ``raw_score``."""
     probs = [1.0 - contamination, MEDIUM_QUANTILE, HIGH_QUANTILE]
-    cuts = [c if c is not None else 0.0 for c in exact_quantiles(scored, ["raw_score"], probs)["raw_score"]]
+    found = exact_quantiles(scored, ["raw_score"], probs, rows=rows)["raw_score"]
+    cuts = [c if c is not None else 0.0 for c in found]
     return Thresholds(*cuts, offset=cuts[0] if centred else 0.0)
 
 
@@ -80,8 +81,8 @@ def score_features(
     """
     scorer = scorer or ZScore()
     model = scorer.fit(features)
-    scored = stage(model.transform(features).select(*keep, "raw_score"), "scores")
-    cuts = find_thresholds(scored, contamination, scorer.centred)
+    scored, rows = stage_counted(model.transform(features).select(*keep, "raw_score"), "scores")
+    cuts = find_thresholds(scored, rows, contamination, scorer.centred)
     return Scored(with_levels(scored, cuts).drop("raw_score"), cuts, model)
 
 

@@ -24,7 +24,7 @@ from ..schema import (
     SEED,
     TREES,
 )
-from ..staging import stage
+from ..staging import stage_counted
 from .scoring import Scored, Thresholds, with_levels
 
 
@@ -49,9 +49,9 @@ def run_grid(
     forest = fit_forest(features, shares, trees, seed)
     columns = forest.score_columns()
     scored = forest.score_all(features).select(*KEYS, *FEATURES, *columns.values())
-    scores = stage(scored, "grid")
+    scores, rows = stage_counted(scored, "grid")
     probs = [*(1.0 - c for c in contaminations), MEDIUM_QUANTILE, HIGH_QUANTILE]
-    quantiles = exact_quantiles(scores, list(columns.values()), probs)
+    quantiles = exact_quantiles(scores, list(columns.values()), probs, rows=rows)
     cuts = {}
     for share, column in columns.items():
         *offsets, medium, high = (q if q is not None else 0.0 for q in quantiles[column])

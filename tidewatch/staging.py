@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,12 +34,20 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidewatch/{app}/{name}-{uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back."""
+def stage_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """Write ``df`` as Parquet to the shared folder; the table read back and its row count.
+
+    The count is observed while writing and costs no job of its own.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    return stage_counted(df, name)[0]
 
 
 # Rows one task of a compute-heavy pass should get at most where cores are idle.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import risk_level
 from ..operators.activity import activity_measures
-from ..operators.features import with_spikes
+from ..operators.features import spike_columns
 from ..operators.scorers import ZScore
 from ..plans.scoring import Thresholds
 from ..session import require_utc
@@ -60,7 +60,7 @@ def scored_activity(activity: DataFrame, baseline: DataFrame, cuts: Thresholds)
 
     A stream-static left join: a user without a baseline gets score 0.
     """
-    spiked = with_spikes(activity.join(baseline, "user", "left"))
+    spiked = activity.join(baseline, "user", "left").withColumns(spike_columns())
     scored = ZScore().fit(spiked).transform(spiked).withColumnRenamed("raw_score", "risk_score")
     level = risk_level(F.col("risk_score"), cuts.medium, cuts.high)
     return scored.withColumn("risk_level", level).drop(*(c for c in baseline.columns if c != "user"))
