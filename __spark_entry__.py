@@ -267,6 +267,10 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(reports.kpis(_risk(spark, sf), RANGE))
 
 
+def kpi_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.kpi_texts(reports.kpis(_risk(spark, sf), RANGE))
+
+
 def kpis_extended(spark: SparkSession, sf: str) -> DataFrame:
     return reports.kpis_extended(_risk(spark, sf, MEASURES), RANGE)
 
@@ -333,7 +337,7 @@ REGISTERED: tuple[Query, ...] = (
     zscore_anomaly_counts, top5_high_risk, iforest_scores, anomaly_counts, kmeans_scores, grid_summary,
     grid_pivot_std, grid_pivot_anomalies, best_config, tuned_risk_export, as_date, filter_date_range,
     filter_users, filter_risk_levels, filter_spikes, filter_activity_type, filter_combined,
-    filtered_export, date_bounds, user_picker, kpis, kpis_extended, risk_level_distribution,
+    filtered_export, date_bounds, user_picker, kpis, kpi_texts, kpis_extended, risk_level_distribution,
     high_risk_daily, top_users_high_risk, risk_score_histogram, flagged_events, daily_activity_trend,
     high_risk_by_hour, high_risk_by_weekday, high_risk_heatmap, stream_daily_activity,
     stream_scored_activity,

@@ -228,6 +228,15 @@ def oracle_queries() -> dict[str, str]:
             "round(avg(risk_score), 6) AS avg_risk_score, "
             f"strftime({START}, '%Y-%m') AS range_start, strftime({END}, '%Y-%m') AS range_end FROM risk WHERE {IN_RANGE}",
         ),
+        "kpi_texts": _with(
+            hour,
+            "SELECT format('{:,}', count(*)) AS filtered_rows, "
+            "format('{:,}', count(DISTINCT \"user\")) AS total_unique_users, "
+            "format('{:,}', count(*) FILTER (WHERE risk_level = 'High')) AS total_high_risk_events, "
+            "printf('%.2f', avg(risk_score)) AS avg_risk_score, "
+            f"strftime({START}, '%Y-%m') || ' to ' || strftime({END}, '%Y-%m') AS data_range "
+            f"FROM risk WHERE {IN_RANGE}",
+        ),
         "kpis_extended": _with(
             hour,
             "SELECT count(*) FILTER (WHERE anomaly = -1) AS total_anomalies, "

@@ -111,6 +111,8 @@ def test_key_figures(risk):
     assert (row.filtered_rows, row.total_unique_users, row.total_high_risk_events) == (6, 4, 2)
     assert row.avg_risk_score == pytest.approx(3.5)
     assert (row.range_start, row.range_end) == ("2024-01", "2024-02")
+    (rough,) = reports.kpis(risk, approximate_users=True).collect()
+    assert rough == row
     (text,) = reports.kpi_texts(reports.kpis(risk)).collect()
     assert tuple(text) == ("6", "4", "2", "3.50", "2024-01 to 2024-02")
     (more,) = reports.kpis_extended(risk).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GRAINS = ("raw", "hour", "day")
+GRAINS = ("raw", "minute", "hour", "day")
 
 
 def truncate(ts: Column, grain: str) -> Column:
@@ -17,7 +17,8 @@ def truncate(ts: Column, grain: str) -> Column:
     midnight = F.to_date(ts).cast("timestamp_ntz")
     if grain == "day":
         return midnight
-    return midnight + F.make_dt_interval(F.lit(0), F.hour(ts))
+    minutes = F.minute(ts) if grain == "minute" else F.lit(0)
+    return midnight + F.make_dt_interval(F.lit(0), F.hour(ts), minutes)
 
 
 def parse(text: Column, fmt: str) -> Column:

@@ -104,7 +104,8 @@ def with_history(activity: DataFrame, chunk: str | None = None) -> DataFrame:
 
     At the hour or day grain the calendar bounds a user to 8,784 or 366 rows a
     year, so windows by user are safe however many raw events the user has. At the
-    raw grain nothing bounds them: pass ``chunk`` ('hour' or 'day').
+    raw grain nothing bounds them: pass ``chunk``, best 'minute'. A task then holds
+    one minute of a user, and a user has at most 527,040 chunks a year.
     """
     return _history_by_chunk(activity, chunk) if chunk else _history_by_window(activity)
 

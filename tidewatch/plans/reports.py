@@ -43,13 +43,17 @@ def _high(risk: DataFrame, filters: Filters) -> DataFrame:
     return filters.apply(risk).where(F.col("risk_level") == "High")
 
 
-def kpis(risk: DataFrame, filters: Filters = ALL) -> DataFrame:
-    """One row of key figures; the month range shows the filter, or the data where it is open."""
+def kpis(risk: DataFrame, filters: Filters = ALL, approximate_users: bool = False) -> DataFrame:
+    """One row of key figures; the month range shows the filter, or the data where it is open.
+
+    Users are counted exactly unless ``approximate_users`` trades that for one pass.
+    """
+    distinct = F.approx_count_distinct if approximate_users else F.count_distinct
     start = F.lit(filters.start) if filters.start else F.min("date")
     end = F.lit(filters.end) if filters.end else F.max("date")
     figures = filters.apply(risk).agg(
         F.count(F.lit(1)).alias("filtered_rows"),
-        F.count_distinct("user").alias("total_unique_users"),
+        distinct("user").alias("total_unique_users"),
         F.count_if(F.col("risk_level") == "High").alias("total_high_risk_events"),
         F.avg("risk_score").alias("avg_risk_score"),
         start.alias("start"),

@@ -44,7 +44,7 @@ def features_of(log: DataFrame, grain: str) -> DataFrame:
     """
     activity = merged_activity(log)
     if grain == "raw":
-        return behaviour_features(stage(activity, "activity"), chunk="hour")
+        return behaviour_features(stage(activity, "activity"), chunk="minute")
     return behaviour_features(activity)
 
 
