@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many values the built-in ``percentile`` aggregate may hold them all.
-IN_TASK_VALUES = 1_000_000
+IN_TASK_VALUES = 250_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -109,42 +109,38 @@ def _read_small(df: DataFrame, small: dict) -> dict:
 
 
 def _narrow(df: DataFrame, large: dict) -> tuple[dict, dict]:
-    keys = list(large)
-    sketches = []
-    for i, (c, rank) in enumerate(keys):
-        span = large[c, rank]
-        at, slack = (rank - span.below) / max(span.size - 1, 1), 2 / SKETCH_ACCURACY
-        ends = F.array(F.lit(max(at - slack, 0.0)), F.lit(min(at + slack, 1.0)))
-        sketches.append(F.percentile_approx(span.values(), ends, SKETCH_ACCURACY).alias(f"s{i}"))
-    brackets = df.agg(*sketches).first()
-
-    counts = []
-    for i, key in enumerate(keys):
-        value, (low, high) = large[key].values(), brackets[i]
-        counts.append(
-            F.struct(
-                F.count_if(value < low),
-                F.count_if(value == low),
-                F.count_if((value > low) & (value < high)),
-                F.count_if(value == high) if high > low else F.lit(0),
-            ).alias(f"c{i}")
-        )
-    counted = df.agg(*counts).first()
+    """One round for all open ranks: a sketch per span, then exact counts at its cuts."""
+    slack = 2 / SKETCH_ACCURACY
+    shares: dict[_Span, set[float]] = {}
+    for (_, rank), span in large.items():
+        at = (rank - span.below) / max(span.size - 1, 1)
+        shares.setdefault(span, set()).update((max(at - slack, 0.0), min(at + slack, 1.0)))
+    sketches = [
+        F.percentile_approx(span.values(), F.array(*(F.lit(p) for p in sorted(wanted))), SKETCH_ACCURACY)
+        for span, wanted in shares.items()
+    ]
+    row = df.agg(*(sketch.alias(f"s{i}") for i, sketch in enumerate(sketches))).first()
+    cuts = {span: sorted(set(row[i])) for i, span in enumerate(shares)}
+
+    pairs = [(span, cut) for span in cuts for cut in cuts[span]]
+    counts = [
+        F.struct(F.count_if(span.values() < cut), F.count_if(span.values() <= cut)).alias(f"c{i}")
+        for i, (span, cut) in enumerate(pairs)
+    ]
+    counted = dict(zip(pairs, df.agg(*counts).first(), strict=True))
 
     found, search = {}, {}
-    for i, key in enumerate(keys):
-        span, (low, high), (under, at_low, between, at_high) = large[key], brackets[i], counted[i]
-        place, c = key[1] - span.below, span.column
-        past_low = under + at_low
-        past_high = past_low + between + at_high
-        if place < under:
-            search[key] = _Span(c, span.below, under, span.low, low)
-        elif place < past_low:
-            found[key] = low
-        elif place < past_low + between:
-            search[key] = _Span(c, span.below + past_low, between, low, high)
-        elif place < past_high:
-            found[key] = high
+    for key, span in large.items():
+        place, low, passed = key[1] - span.below, span.low, 0
+        for cut in cuts[span]:
+            under, upto = counted[span, cut]
+            if place < under:
+                search[key] = _Span(span.column, span.below + passed, under - passed, low, cut)
+                break
+            if place < upto:
+                found[key] = cut
+                break
+            low, passed = cut, upto
         else:
-            search[key] = _Span(c, span.below + past_high, span.size - past_high, high, span.high)
+            search[key] = _Span(span.column, span.below + passed, span.size - passed, low, span.high)
     return found, search
