@@ -32,6 +32,11 @@ from tidewatch.sources.risk_table import as_report_table
 from tidewatch.staging import stage
 from tidewatch.streaming import activity_stream as streaming
 
+try:  # the text operators are optional: the rest works without their folder
+    from tidewatch.llm import queries as text
+except ImportError:
+    text = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 START, END = date(2024, 1, 8), date(2024, 1, 21)
@@ -350,10 +355,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in REGISTERED}
+    own = {query.__name__: query for query in REGISTERED}
+    return own | (text.queries() if text else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import oracle_queries
 
-    return oracle_queries()
+    return oracle_queries() | (text.oracle_sql() if text else {})
