@@ -8,6 +8,7 @@ shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -63,3 +64,16 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     tops = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
+
+
+def least_of_parts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For positions 0..n-1 in memory, the least position reachable by the links a-b."""
+    label = np.arange(n)
+    while True:
+        after = label.copy()
+        np.minimum.at(after, a, label[b])
+        np.minimum.at(after, b, label[a])
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after

@@ -25,4 +25,35 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.least AS component_id,
 FROM documents JOIN c ON c.node = doc_id LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2}
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages),
+t AS (
+  SELECT page_id, octet_length(x) AS n, sha1(x) AS d, max(page_id) OVER (PARTITION BY x) AS top FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM t
+"""
+
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r(node, least) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.least FROM r JOIN l ON l.a = r.node
+), c AS (SELECT node, min(least) AS least FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.least AS component_id, vec_id = c.least AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+ORACLES = {"op2_minhash_near_dedup": OP2, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}

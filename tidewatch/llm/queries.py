@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewatch.llm import bpe
 from tidewatch.llm.common import table
+from tidewatch.llm.embeddings import linked_vectors
 from tidewatch.llm.minhash import near_duplicates
+from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.warc import archive_round_trip
+
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-REGISTERED = (op2_minhash_near_dedup,)
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BPE_RANKS)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    digest = F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
+    decoded = bpe.decode_documents(
+        encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path
+    )
+    text = F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", text)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+REGISTERED = (op2_minhash_near_dedup, op4_bpe, op5_mixing, op9_warc, op10_embedding_near_dedup)
 
 
 def queries() -> dict:
