@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe
 from tidewatch.llm.common import table
 from tidewatch.llm.embeddings import linked_vectors
+from tidewatch.llm.language import fit_language_model, predict_language
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.quality import fit_quality_model, score_quality
 from tidewatch.llm.warc import archive_round_trip
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +41,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def _fold(folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    scored = score_quality(docs, fit_quality_model(docs, labels, _fold(5) != 0))
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    predicted = predict_language(docs, fit_language_model(docs, _fold(4) != 2))
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return predicted.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +70,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-REGISTERED = (op2_minhash_near_dedup, op4_bpe, op5_mixing, op9_warc, op10_embedding_near_dedup)
+REGISTERED = (op2_minhash_near_dedup, op4_bpe, op5_mixing, op6_quality, op8_language, op9_warc, op10_embedding_near_dedup)
 
 
 def queries() -> dict:
