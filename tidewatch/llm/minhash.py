@@ -9,8 +9,9 @@ The plan never holds a group of copies together and never lists all pairs of one
 1. Texts with equal shingle sets collapse to a class; the rest works on classes.
 2. Classes that share a band key form a bucket. The most connected class of a bucket is its hub,
    and the bucket's classes are compared with the hub only (exact Jaccard on full sets).
-3. After joining what was linked into components, only classes of a bucket that lie outside its
-   main component are compared with the classes of other components there.
+3. The buckets of a hub are its family. Where verified links leave a family in several parts, the
+   classes outside its main part are compared with all others, in blocks of bounded size that hold
+   full sets and return a spanning forest of the links found, never pairs.
 
 So two classes of a bucket stay uncompared only if verified links connect them already.
 """
@@ -21,18 +22,21 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import arrow_map, stage
-from tidewatch.llm.components import components
+from tidewatch.llm.components import components, least_of_parts
 from tidewatch.llm.hashing import mix, shingle_set, texts_words
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 4
 SHINGLE = 5
 PERCENT = 75
+# Bounds of a block: classes, and shingles in all.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 
 
 @lru_cache(maxsize=2)
@@ -118,6 +122,81 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every row set with every column set, by products of incidence matrices."""
+    both = rows + columns
+    sizes = [len(x) for x in both]
+    values, slot, seen = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), sizes)
+    often = seen[slot] > 1  # what only one set has is shared by none
+    slot, owner = np.cumsum(seen > 1)[slot[often]] - 1, owner[often]
+    order = np.argsort(slot, kind="stable")
+    slot, owner = slot[order], owner[order]
+    counts = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    width = 4096
+    for first in range(0, int(slot[-1]) + 1 if len(slot) else 0, width):
+        a, b = np.searchsorted(slot, [first, first + width])
+        held = np.zeros((len(both), width), dtype=np.float32)
+        held[owner[a:b], slot[a:b] - first] = 1
+        counts += held[: len(rows)] @ held[len(rows) :].T
+    return counts.astype(np.int64)
+
+
+def _block_links(percent: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node", kind="stable")
+        near, far = block[block["first"]], block[~block["first"]]
+        far = near if not len(far) else far
+        sizes = [b["shingles"].map(len).to_numpy(np.int64) for b in (near, far)]
+        shared = shared_counts(list(near["shingles"]), list(far["shingles"]))
+        linked = 100 * shared >= percent * (sizes[0][:, None] + sizes[1] - shared)
+        linked &= near["part"].to_numpy()[:, None] != far["part"].to_numpy()
+        x, y = np.nonzero(linked)
+        nodes = np.unique(np.concatenate([near["node"], far["node"]]))
+        a, b = np.searchsorted(nodes, near["node"].to_numpy()[x]), np.searchsorted(nodes, far["node"].to_numpy()[y])
+        least = least_of_parts(a, b, len(nodes))
+        moved = least != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[least[moved]]})
+
+    return run
+
+
+def _links_apart(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the parts of each family (hub, node, n, part).
+
+    The largest part is the main one; blocks of other classes meet each other and blocks of it.
+    """
+    split = family.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    family = stage(family.join(split.select("hub"), "hub", "left_semi").select("hub", "node", "n", "part"), "families")
+    parts = family.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("held"))
+    mains = parts.groupBy("hub").agg(F.max_by("part", F.struct("held", -F.col("part"))).alias("main"))
+    marked = family.join(mains, "hub").withColumn("outside", F.col("part") != F.col("main"))
+
+    def blocks(outside: bool):
+        of = F.col("outside") if outside else ~F.col("outside")
+        held, volume = F.sum(of.cast("int")), F.sum(F.when(of, F.col("n")).otherwise(0))
+        return F.ceil(F.greatest(held / BLOCK_SETS, volume / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+    numbers = marked.groupBy("hub").agg(blocks(True).alias("outer"), blocks(False).alias("inner"))
+    dealt = marked.join(numbers, "hub")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+
+    def tasks(count: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)
+
+    def task(kind: str, i, j, first):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), first.alias("first"))
+
+    among = tasks("outer", lambda k: task("outer", F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.col("own") <= k))
+    inward = tasks("inner", lambda k: task("inner", F.col("own"), k, F.lit(True)))
+    outward = tasks("outer", lambda k: task("inner", k, F.col("own"), F.lit(False)))
+    todo = F.when(F.col("outside"), F.concat(among, inward)).otherwise(outward)
+    sent = dealt.select("hub", "node", "part", F.explode(todo).alias("task")).select("hub", "node", "part", "task.*")
+    filled = sent.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    return filled.groupBy("hub", "kind", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -157,18 +236,8 @@ def near_duplicates(
     linked = stage(_verified(spokes.distinct(), sets, percent), "links")
     joined = stage(components(linked), "components")
 
-    # What the hubs left apart: classes outside a bucket's main component.
-    placed = buckets.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    apart = stage(placed.join(split.select("key"), "key").select("key", "node", "n", "part", "hub"), "apart")
-    parts = apart.groupBy("key", "part").agg(F.count(F.lit(1)).alias("held"))
-    mains = parts.groupBy("key").agg(F.max(F.struct("held", (-F.col("part")).alias("minus"))).alias("main"))
-    mains = mains.select("key", (-F.col("main.minus")).alias("main"))
-    outside = apart.join(mains, "key").where("part <> main and node <> hub")
-    outside = outside.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"), "main")
-    met = outside.join(apart.where("node <> hub"), "key").where(_may_link("n", "xn", percent))
-    met = met.where("part <> xp and (part = main or x < node)").select(*_ordered("x", "node"))
-    more = stage(_verified(met.distinct(), sets, percent), "more-links")
+    family = buckets.select("hub", "node", "n").distinct().join(joined, "node", "left")
+    more = stage(_links_apart(family.withColumn("part", F.coalesce("component", "node")), sets, percent), "more-links")
     if not more.isEmpty():
         joined = stage(components(linked.union(more)), "components")
 
