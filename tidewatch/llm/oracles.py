@@ -25,6 +25,42 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.least AS component_id,
 FROM documents JOIN c ON c.node = doc_id LEFT JOIN n USING (doc_id)
 """
 
+# All pairs of distinct word sets by shared words; prefix and size filters keep the pairs few.
+OP3 = """
+WITH l AS (
+  SELECT doc_id, i - 1 AS line, t[i] AS x FROM (
+    SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)
+  )
+), w AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda v: v <> ''))) AS s FROM l
+), f AS (
+  SELECT doc_id, line, s, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS turn FROM w WHERE len(s) > 0
+), c AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, s, len(s) AS n FROM f WHERE turn = 1
+), t AS (SELECT id, n, unnest(s) AS v FROM c),
+q AS (SELECT v, count(*) AS df FROM t GROUP BY v),
+e AS (
+  SELECT id, n, t.v, row_number() OVER (PARTITION BY id ORDER BY df, t.v) AS i FROM t JOIN q ON q.v = t.v
+), p AS (SELECT * FROM e WHERE i <= n - ceil(n * 0.75) + 1),
+k AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.v = b.v AND a.id < b.id
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75
+), z AS (
+  SELECT DISTINCT k.b FROM k JOIN c x ON x.id = k.a JOIN c y ON y.id = k.b
+  WHERE len(list_intersect(x.s, y.s)) * 100 >= (x.n + y.n - len(list_intersect(x.s, y.s))) * 75
+), g AS (
+  SELECT doc_id, line FROM f WHERE turn > 1
+  UNION SELECT doc_id, line FROM c JOIN z ON z.b = c.id
+), r AS (
+  SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed,
+       coalesce(r.lines, '') AS removed_lines
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages),
 t AS (
@@ -56,4 +92,4 @@ SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.least AS component_id, vec
 FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+ORACLES = {"op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}

@@ -10,6 +10,7 @@ from tidewatch.llm import bpe
 from tidewatch.llm.common import table
 from tidewatch.llm.embeddings import linked_vectors
 from tidewatch.llm.language import fit_language_model, predict_language
+from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import fit_quality_model, score_quality
@@ -22,6 +23,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), removed)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_RANKS)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -70,7 +77,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-REGISTERED = (op2_minhash_near_dedup, op4_bpe, op5_mixing, op6_quality, op8_language, op9_warc, op10_embedding_near_dedup)
+REGISTERED = (op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op8_language, op9_warc, op10_embedding_near_dedup)
 
 
 def queries() -> dict:
