@@ -2,6 +2,68 @@
 
 from __future__ import annotations
 
+from tidewatch.llm import url_filter as url
+
+_PARTS = """
+  SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u)
+"""
+
+
+def _grams_sql() -> str:
+    parts = (("h:", "host"), ("p:", "path"))
+    found = [
+        f"list_transform(range(1, length({c}) + {4 - n}), lambda i: '{tag}' || substr('^' || {c} || '$', i, {n}))"
+        for tag, c in parts
+        for n in url.GRAMS
+    ]
+    return " || ".join(found)
+
+
+# The regression is trained in SQL too: the same kernel steps, as a recursive query.
+OP1 = f"""
+WITH RECURSIVE u AS (
+  SELECT NULL::BIGINT AS page_id, url, verdict, true AS labelled
+  FROM (VALUES {", ".join(f"('{u}', '{v}')" for u, v in url.LABELLED)}) AS v(url, verdict)
+  UNION ALL SELECT page_id, url, NULL, false FROM pages
+), parts AS ({_PARTS}),
+g AS (
+  SELECT row_number() OVER () AS rid, *, list_distinct(list_transform({_grams_sql()},
+         lambda g: ('0x' || substr(md5(g), 1, 4))::BIGINT % {url.BUCKETS})) AS b FROM parts
+), r AS (
+  SELECT row_number() OVER (ORDER BY url) AS i, b, (verdict = 'block')::INT::DOUBLE AS y FROM g WHERE labelled
+), k AS (
+  SELECT x.i, any_value(x.y) AS y, list(len(list_intersect(x.b, z.b)) / (sqrt(len(x.b)) * sqrt(len(z.b))) + {url.OFFSET} ORDER BY z.i) AS k
+  FROM r x, r z GROUP BY x.i
+), kk AS (SELECT list(k ORDER BY i) AS k, list(y ORDER BY i) AS y FROM k),
+s(t, a) AS (
+  SELECT 0, list_transform(y, lambda v: 0.0::DOUBLE) FROM kk
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(a) + 1), lambda i:
+         a[i] + {url.RATE} * (y[i] - 1 / (1 + exp(-list_dot_product(k[i], a))) - {url.DECAY} * a[i]))
+  FROM s, kk WHERE t < {url.STEPS}
+), alpha AS (SELECT unnest(a) AS a, generate_subscripts(a, 1) AS i FROM s WHERE t = {url.STEPS}),
+w AS (
+  SELECT b, sum(w) AS w FROM (SELECT a / sqrt(len(r.b)) AS w, unnest(r.b) AS b FROM alpha JOIN r USING (i)) GROUP BY b
+), p AS (
+  SELECT rid, sum(w.w) AS total FROM (SELECT rid, unnest(b) AS b FROM g WHERE NOT labelled) e JOIN w ON w.b = e.b GROUP BY rid
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM g WHERE NOT labelled
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN round((SELECT sum(a) FROM alpha) * {url.OFFSET} + coalesce(total, 0) / sqrt(greatest(len(b), 1)), 9) >= {url.LEAST_SCORE} THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN p USING (rid)
+"""
+
 # Shingle sets in full, pairs by shared shingles, components by repeated minima.
 OP2 = """
 WITH RECURSIVE d AS (
@@ -92,4 +154,4 @@ SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.least AS component_id, vec
 FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+ORACLES = {"op1_url_filter": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}

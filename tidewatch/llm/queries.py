@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe
-from tidewatch.llm.common import table
+from tidewatch.llm import bpe, spotsigs
+from tidewatch.llm.common import arrow_map, table
 from tidewatch.llm.embeddings import linked_vectors
 from tidewatch.llm.language import fit_language_model, predict_language
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import fit_quality_model, score_quality
+from tidewatch.llm.url_filter import judge_urls
 from tidewatch.llm.warc import archive_round_trip
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -61,6 +69,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of the text edited with the next one, and how alike they are."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        code = lambda t: t.encode("utf-8", "surrogatepass")
+        out: dict = {name: [] for name in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+        for text, following in zip(batch.column("text").to_pylist(), batch.column("next_text").to_pylist(), strict=True):
+            text, following = text or "", following or ""
+            changed = code(spotsigs.edited(text, following))
+            own, other = spotsigs.signatures(code(text)), spotsigs.signatures(changed)
+            out["n_chars"].append(len(text))
+            out["edited_sha256"].append(hashlib.sha256(changed).hexdigest())
+            out["fingerprint"].append(spotsigs.fingerprint(own))
+            out["edited_fingerprint"].append(spotsigs.fingerprint(other))
+            out["near_edited"].append(spotsigs.pruned_jaccard(own, other))
+            out["near_next"].append(spotsigs.pruned_jaccard(own, spotsigs.signatures(code(following))))
+        return {"doc_id": batch.column("doc_id")} | out
+
+    paired = spotsigs.with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+    schema = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
+    )
+    return arrow_map(paired, "text", schema, work)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     predicted = predict_language(docs, fit_language_model(docs, _fold(4) != 2))
@@ -77,7 +111,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-REGISTERED = (op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op8_language, op9_warc, op10_embedding_near_dedup)
+REGISTERED = (op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints, op8_language, op9_warc, op10_embedding_near_dedup)
 
 
 def queries() -> dict:
