@@ -8,14 +8,16 @@ text gets the language with most letters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map
+from tidewatch.llm.common import arrow_map, pieces
 from tidewatch.llm.crf import Adam, Chain, forward_backward, gold_counts
 from tidewatch.llm.hashing import mix, words_of
 
@@ -25,6 +27,7 @@ TABLE = 1 << 16
 LEXICON_LEAST = 3
 EPOCHS = 40
 UNDEFINED = "und"
+_LETTER = regex.compile(r"\p{L}")
 # ASCII other than letters ends a word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalpha())
 _GROUP = 1 << 20
@@ -173,6 +176,29 @@ def fit_language_model(docs: DataFrame, learn_from: Column) -> LanguageModel:
     return train(texts, names)
 
 
+def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    names, scores, k = [], [], len(model.languages)
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if not k:
+        return [UNDEFINED] * len(texts), [0.0] * len(texts)
+    starts, ends, marginal = word_marginals(model, b"\n".join(coded))
+    begins = np.cumsum([0] + [len(c) + 1 for c in coded])
+    cuts = np.searchsorted(starts, begins)
+    sums = np.concatenate([np.zeros((1, k)), np.cumsum(marginal * (ends - starts)[:, None], axis=0)])
+    for i, text in enumerate(texts):
+        of = sums[cuts[i + 1]] - sums[cuts[i]]
+        whole = of.sum()
+        if whole <= 0 or not _LETTER.search(text):
+            names.append(UNDEFINED)
+            scores.append(0.0)
+        else:
+            best = int(np.argmax(np.round(of / whole, 9)))
+            names.append(model.languages[best])
+            scores.append(float(min(1.0, of[best] / whole)))
+    return names, scores
+
+
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text).
 
@@ -182,26 +208,20 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     are judged each; other columns are not read.
     """
     def work(batch: pa.RecordBatch) -> dict:
-        names, scores = [], []
-        coded = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        k = len(model.languages)
-        starts, ends, marginal = word_marginals(model, b"\n".join(coded)) if k else (np.empty(0), np.empty(0), np.empty((0, 0)))
-        begins = np.cumsum([0] + [len(c) + 1 for c in coded])
-        cuts = np.searchsorted(starts, begins)
-        sizes = (ends - starts)[:, None]
-        sums = np.concatenate([np.zeros((1, k)), np.cumsum(marginal * sizes, axis=0)]) if k else np.zeros((1, 0))
-        for i in range(len(coded)):
-            of = sums[cuts[i + 1]] - sums[cuts[i]] if k else np.empty(0)
-            whole = of.sum() if k else 0.0
-            if whole <= 0 or not batch.column("letters")[i].as_py():
-                names.append(UNDEFINED)
-                scores.append(0.0)
-            else:
-                best = int(np.argmax(np.round(of / whole, 9)))
-                names.append(model.languages[best])
-                scores.append(float(min(1.0, of[best] / whole)))
+        names, scores = _judged(model, batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letters)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return arrow_map(chosen, "text", "doc_id long, lang_pred string, score double", work)
+
+
+def keep_known_languages(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und`` and has at least ``least_score``, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            _, scores = _judged(model, piece.column("text").to_pylist())
+            kept = pa.array([s >= least_score and s > 0 for s in scores], pa.bool_())
+            yield piece.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -111,7 +111,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-REGISTERED = (op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints, op8_language, op9_warc, op10_embedding_near_dedup)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package, and it imports the operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+REGISTERED = (op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints, op8_language, op9_warc, op10_embedding_near_dedup, pipeline)
 
 
 def queries() -> dict:

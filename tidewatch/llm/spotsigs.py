@@ -170,15 +170,14 @@ def with_next(docs: DataFrame) -> DataFrame:
         cuts = sorted({c for c in found if c > low})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("range", _range_of(F.col("doc_id"), cuts))
-    # The first row of each range, by id and text, from a grouped minimum over ids and then texts.
-    firsts = rows.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    last = len(cuts)
-    held = [r[0] for r in firsts.select("range").orderBy("range").collect()]  # MOST_RANGES at most
-    before = {r: held[i - 1] for i, r in enumerate(held)}  # the first range's goes to the last
-    to = F.lit(",".join(str(before.get(i, 0)) for i in range(last + 1)))
-    sent = firsts.select(
-        F.get(F.split(to, ",").cast("array<int>"), F.col("range")).alias("range"), "first.doc_id", "first.text", F.lit(1).alias("guest")
-    )
+    # The first row of each range, by id and text: the least id of each, then the rows that have it.
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    held = sorted(tuple(r) for r in rows.groupBy("range").agg(F.min(key)).collect())  # MOST_RANGES at most
+    order = [r for r, _ in held]  # the first range's goes to the last
+    to = [(r, least, order[i - 1]) for i, (r, least) in enumerate(held)]
+    to = F.broadcast(docs.sparkSession.createDataFrame(to, "range int, least long, to int"))
+    firsts = rows.join(to, "range").where(key == F.col("least")).groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    sent = firsts.select(F.col("to").alias("range"), "first.doc_id", "first.text", F.lit(1).alias("guest"))
     both = rows.select("range", "doc_id", "text", F.lit(0).alias("guest")).union(sent.select("range", "doc_id", "text", "guest"))
     follows = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
     return both.withColumn("next_text", F.lead("text").over(follows)).where("guest = 0").select("doc_id", "text", "next_text")
