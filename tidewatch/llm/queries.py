@@ -117,7 +117,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-REGISTERED = (op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints, op8_language, op9_warc, op10_embedding_near_dedup, pipeline)
+REGISTERED = (
+    op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints,
+    op8_language, op9_warc, op10_embedding_near_dedup, pipeline,
+)
 
 
 def queries() -> dict:
