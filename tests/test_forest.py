@@ -46,11 +46,23 @@ def test_every_tree_gets_its_rows(features):
         F.count("*").alias("n"), F.count_distinct("date").alias("d")
     )
     assert sorted(map(tuple, own.collect())) == [(t, 64, 64) for t in range(20)]
-    dealt = tree_samples(keys, ROWS + 1, 10, 40, 42)
-    assert dealt.select("date").distinct().count() == 400
-    assert sorted(r["count"] for r in dealt.groupBy("tree_id").count().collect()) == [40] * 10
-    again = tree_samples(keys.repartition(7), ROWS + 1, 10, 40, 42)
-    assert dealt.exceptAll(again).isEmpty()
+    # The same scheme on both sides of trees * size rows, and in any partitioning.
+    few = tree_samples(keys, ROWS + 1, 10, 40, 42)
+    assert sorted(r["count"] for r in few.groupBy("tree_id").count().collect()) == [40] * 10
+    assert few.exceptAll(tree_samples(keys.repartition(7), ROWS + 1, 10, 40, 42)).isEmpty()
+    assert few.select("date").distinct().count() < 400
+    small = own_rows = tree_samples(keys, ROWS + 1, 10, 40, 42).where("tree_id = 3").select("date")
+    assert small.exceptAll(tree_samples(keys, ROWS + 1, 30, 40, 42).where("tree_id = 3").select("date")).isEmpty() and own_rows.count() == 40
+    again = tree_samples(keys, ROWS + 1, 10, 400, 42, bootstrap=True).groupBy("tree_id").agg(
+        F.count("*").alias("n"), F.count_distinct("date").alias("d")
+    )
+    assert all(r.n == 400 and 220 < r.d < 340 for r in again.collect())
+
+
+def test_sample_size_is_an_argument(features):
+    small = fit_forest(features, trees=4, max_samples=16, bootstrap=True)
+    assert small.sample_size == 16 and small.trees[1.0][0].shape == (4, 15)
+    assert fit_forest(features, trees=2, max_samples=10_000).sample_size == ROWS + 1
 
 
 def _walk(x, feature, cut, path):
@@ -148,9 +160,12 @@ def test_cluster_distance(features):
     got = [r.raw_score for r in model.transform(features).orderBy("date").collect()]
     x = _matrix(features)
     scaled = (x - np.array(model.scaler.means)) / np.array(model.scaler.stds)
-    centres = np.array(model.clusters.clusterCenters())
+    centres = np.array(model.centres)
     expected = np.sqrt(((scaled[:, None, :] - centres) ** 2).sum(axis=2)).min(axis=1)
     assert got == pytest.approx(expected.tolist(), abs=1e-5)
+    # Another partitioning and another order give the same centres.
+    assert ClusterDistance(k=3, rounds=5).fit(features.repartition(5).orderBy(F.desc("date"))).centres == model.centres
+    assert ClusterDistance(k=3).fit(features.limit(0)).centres == ()
 
 
 def test_grid(spark, features):

@@ -16,10 +16,10 @@ def _frame(spark, **columns):
     return spark.createDataFrame(rows, ", ".join(f"{n} DOUBLE" for n in names))
 
 
-@pytest.mark.parametrize("in_task", [1_000_000, 2])
-def test_interpolated_quantiles(spark, in_task):
+@pytest.mark.parametrize("listed", [1_000_000, 2])
+def test_interpolated_quantiles(spark, listed):
     df = _frame(spark, s=[1.0, 2.0, 3.0, 10.0])
-    got = exact_quantiles(df, ["s"], [0.75, 0.95, 0.0, 1.0], in_task)["s"]
+    got = exact_quantiles(df, ["s"], [0.75, 0.95, 0.0, 1.0], listed)["s"]
     assert got == pytest.approx([4.75, 8.95, 1.0, 10.0])
 
 
@@ -32,7 +32,7 @@ def test_narrowing_matches_numpy_with_ties_and_gaps(spark):
     constant = [4.25] * 6000
     data = {"smooth": smooth, "tied": tied, "heavy": heavy, "gaps": gaps, "constant": constant}
     probs = [0.0, 0.1, 0.5, 0.75, 0.95, 0.98, 1.0]
-    got = exact_quantiles(_frame(spark, **data).repartition(5), list(data), probs, in_task=200)
+    got = exact_quantiles(_frame(spark, **data).repartition(5), list(data), probs, listed=20)
     for name, values in data.items():
         present = [v for v in values if v is not None]
         assert got[name] == pytest.approx(np.quantile(present, probs).tolist(), abs=1e-12), name

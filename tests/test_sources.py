@@ -41,24 +41,55 @@ def paths(tmp_path):
     return found
 
 
-def test_logs_are_read_by_header_name(spark, paths):
-    log = csv_logs.read_tagged(spark, **paths)
+def test_logs_are_read_by_header_name(spark, paths, tmp_path):
+    log = csv_logs.read_tagged(spark, **paths, rejects=str(tmp_path / "rejects"))
     found = {(r.user, r.date): r for r in merged_activity(log).collect()}
     ann = found["ann", datetime(2010, 1, 2, 6, 49)]
     assert (ann.logon_count, ann.http_requests, ann.device_activity_count) == (2, 2, 1)
     assert (ann.http_bytes_sent, ann.http_bytes_received) == (10, 12)
     # An empty activity is not counted but its user and date exist.
     assert found["bob", datetime(2010, 1, 3, 8)].logon_count == 0
-    cid = found["cid", datetime(2010, 1, 4, 9, 30)]
-    assert (cid.http_bytes_sent, cid.http_bytes_received) == (1, 0)
-    assert len(found) == 3
+    assert len(found) == 2
+    aside = {(r.log, r.problem, r.raw_date) for r in spark.read.json(str(tmp_path / "rejects")).collect()}
+    assert aside == {("logon", "date", "not a date"), ("http", "bytes_received", "01/04/2010 09:30:00")}
 
 
-def test_grain_of_logs(spark, paths):
-    log = csv_logs.read_tagged(spark, **paths, grain="day")
-    assert {r.date for r in log.select("date").collect() if r.date} == {
-        datetime(2010, 1, 2), datetime(2010, 1, 3), datetime(2010, 1, 4)
-    }
+def test_unreadable_rows_end_the_job_by_default(spark, paths):
+    with pytest.raises(Exception, match="unreadable date on not a date"):
+        csv_logs.read_tagged(spark, **paths).where("source = 'logon'").collect()
+
+
+def test_fractions_and_long_numbers_survive(spark, paths):
+    row = "{{d}},01/02/2010 06:49:00,06:49,ann,PC-1,http://x.test/,t,{},{}\n"
+    for sent, received, expected in (("12.7", "0.4", (12.7, 0.4)), ("9" * 20, "12.5", (1e20, 12.5)), ("", "NA", (0.0, 0.0))):
+        with open(paths["http"], "w") as out:
+            out.write(row.format(sent, received))
+        web = csv_logs.read_logs(spark, **paths)[1]
+        assert csv_logs.rejected(web).isEmpty()
+        log = csv_logs.read_tagged(spark, **paths).where("source = 'http'")
+        (got,) = merged_activity(log).collect()
+        assert (got.http_bytes_sent, got.http_bytes_received) == pytest.approx(expected)
+    for text in ("many", "1e999", "0x10"):
+        with open(paths["http"], "w") as out:
+            out.write(row.format(text, "1"))
+        assert [r.problem for r in csv_logs.rejected(csv_logs.read_logs(spark, **paths)[1]).collect()] == ["bytes_sent"]
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    folder = tmp_path / "both"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user,date,activity\nann,01/02/2010 06:49:00,Logon\n")
+    (folder / "b.csv").write_text("date,user,activity\n01/02/2010 06:50:00,bob,Logon\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_logs.read_headered(spark, str(folder)).collect()
+    apart = csv_logs.read_headered(spark, [str(folder / "a.csv"), str(folder / "b.csv")])
+    assert {r.user for r in apart.collect()} == {"ann", "bob"}
+
+
+def test_grain_is_set_in_one_place(spark, paths, tmp_path):
+    log = csv_logs.read_tagged(spark, **paths, rejects=str(tmp_path / "rejects"))
+    days = scoring.features_of(log, "day").select("date").distinct().collect()
+    assert {r.date for r in days} == {datetime(2010, 1, 2), datetime(2010, 1, 3)}
 
 
 def test_headerless_web_log(spark, paths):
@@ -69,7 +100,7 @@ def test_headerless_web_log(spark, paths):
 def test_unreadable_dates_are_set_aside(spark, paths):
     logon, web, device = csv_logs.read_logs(spark, **paths)
     assert [(r.user, r.raw_date) for r in csv_logs.rejected(logon).collect()] == [("bob", "not a date")]
-    assert csv_logs.rejected(web).isEmpty() and csv_logs.rejected(device).isEmpty()
+    assert [r.problem for r in csv_logs.rejected(web).collect()] == ["bytes_received"] and csv_logs.rejected(device).isEmpty()
 
 
 @pytest.fixture(scope="module")

@@ -6,51 +6,61 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FEATURES, SEED
-from ..staging import spread
+from ..schema import FEATURES
 from .scaling import FeatureScaler
 from .scorers import SCORE_DIGITS
 
+# Places kept of a centre in every round, so that the order of a sum moves no row.
+CENTRE_DIGITS = 6
 
-VECTOR, CLUSTER = "_vector", "_cluster"
 
-
-def _with_vector(features: DataFrame, scaler: FeatureScaler) -> DataFrame:
-    return features.withColumn("_scaled", F.array(*scaler.columns())).withColumn(VECTOR, array_to_vector("_scaled"))
+def _distances(scaled: list[Column], centres: tuple[tuple[float, ...], ...]) -> Column:
+    """Squared distances to all centres."""
+    return F.array(
+        *(reduce(add, [(x - F.lit(m)) * (x - F.lit(m)) for x, m in zip(scaled, c, strict=True)]) for c in centres)
+    )
 
 
 @dataclass(frozen=True)
 class ClusterModel:
     scaler: FeatureScaler
-    clusters: KMeansModel
-    rows: int
+    centres: tuple[tuple[float, ...], ...]
 
     def transform(self, features: DataFrame) -> DataFrame:
-        assigned = self.clusters.transform(_with_vector(spread(features, self.rows), self.scaler))
-        centres = [F.array(*(F.lit(float(m)) for m in c)) for c in self.clusters.clusterCenters()]
-        centre = F.element_at(F.array(*centres), F.col(CLUSTER) + 1)
-        gaps = [F.col("_scaled")[i] - centre[i] for i in range(len(self.scaler.names))]
-        distance = F.sqrt(reduce(add, [gap * gap for gap in gaps]))
-        return assigned.withColumn("raw_score", F.round(distance, SCORE_DIGITS)).drop("_scaled", VECTOR, CLUSTER)
+        scaled = features.select("*", F.struct(*self.scaler.columns()).alias("_scaled"))
+        columns = [F.col(f"_scaled.{n}") for n in self.scaler.names]
+        distance = F.sqrt(F.array_min(_distances(columns, self.centres))) if self.centres else F.lit(0.0)
+        return scaled.withColumn("raw_score", F.round(distance, SCORE_DIGITS)).drop("_scaled")
 
 
 @dataclass(frozen=True)
 class ClusterDistance:
-    """Fit k-means on the scaled vector. ``features`` should be a staged table."""
+    """Fit k-means on the scaled vector. ``features`` should be a staged table.
+
+    The first centres are the ``k`` rows of least md5 of user and date; then come ``rounds`` of
+    assigning every row to its nearest centre (the first of equals) and averaging, one aggregation
+    each. A centre without rows stays. Nothing depends on the partitioning.
+    """
 
     k: int = 8
-    rounds: int = 20
-    seed: int = SEED
+    rounds: int = 10
     centred: bool = False
 
     def fit(self, features: DataFrame) -> ClusterModel:
-        rows = features.count()
         scaler = FeatureScaler.fit(features, FEATURES)
-        vectors = _with_vector(spread(features, rows), scaler).select(VECTOR)
-        means = KMeans(k=self.k, maxIter=self.rounds, seed=self.seed, featuresCol=VECTOR, predictionCol=CLUSTER)
-        return ClusterModel(scaler, means.fit(vectors), rows)
+        names = list(scaler.names)
+        moment = F.date_format("date", "yyyy-MM-dd HH:mm:ss")
+        key = F.md5(F.concat_ws("|", F.col("user").cast("string"), moment).cast("binary"))
+        rows = features.select(*scaler.columns(), key.alias("_key"))
+        first = rows.orderBy("_key").limit(self.k).collect()
+        centres = tuple(tuple(round(r[n], CENTRE_DIGITS) for n in names) for r in first)
+        for _ in range(self.rounds if centres else 0):
+            gaps = _distances([F.col(n) for n in names], centres)
+            nearest = rows.withColumn("_gaps", gaps).select(*names, F.array_position("_gaps", F.array_min("_gaps")).alias("_c"))
+            means = nearest.groupBy("_c").agg(*(F.round(F.avg(n), CENTRE_DIGITS).alias(n) for n in names)).collect()
+            moved = {r["_c"]: tuple(r[n] for n in names) for r in means}
+            centres = tuple(moved.get(i + 1, c) for i, c in enumerate(centres))
+        return ClusterModel(scaler, centres)

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..schema import MEASURES, SOURCES, SPIKES
 
 SPIKE_LIMIT = 3.0
-# More users than this are matched by a semi join instead of a literal list.
-LITERAL_USERS = 1_000
 
 
 @dataclass(frozen=True)
@@ -23,7 +21,8 @@ class Filters:
     """Optional predicates, all ANDed. An empty one filters nothing.
 
     ``start`` and ``end`` are inclusive days, either may be open. ``users`` is a
-    list or a DataFrame with a ``user`` column. ``spikes`` names spike columns;
+    list or a DataFrame with a ``user`` column, cast to the table's type and matched by
+    a semi join at every length. ``spikes`` names spike columns;
     mode 'threshold' keeps z > ``spike_limit``, 'exact' keeps z = 1. ``activity``
     names sources, of which at least one must have been active.
     """
@@ -62,8 +61,6 @@ class Filters:
     def predicate(self, columns: Sequence[str] = ()) -> Column:
         """The conjunction of all predicates but a user semi join."""
         found = self._dates(columns)
-        if self._literal_users():
-            found.append(F.col("user").isin(*self.users))
         if self.levels:
             found.append(F.col("risk_level").isin(*self.levels))
         for spike in self.spikes:
@@ -74,18 +71,16 @@ class Filters:
             found.append(reduce(or_, [F.col(counts[source]) > 0 for source in self.activity]))
         return reduce(and_, found, F.lit(True))
 
-    def _literal_users(self) -> bool:
-        return not isinstance(self.users, DataFrame) and 0 < len(self.users) <= LITERAL_USERS
-
     def apply(self, df: DataFrame) -> DataFrame:
         kept = df.where(self.predicate(df.columns))
         if isinstance(self.users, DataFrame):
-            return kept.join(self.users.select("user"), "user", "left_semi")
-        if len(self.users) > LITERAL_USERS:
-            kind = dict(df.dtypes)["user"]
-            listed = df.sparkSession.createDataFrame([(u,) for u in self.users], f"user {kind}")
-            return kept.join(listed, "user", "left_semi")
-        return kept
+            users = self.users.select("user")
+        elif self.users:
+            users = df.sparkSession.createDataFrame([(str(u),) for u in self.users], "user STRING")
+        else:
+            return kept
+        kind = df.schema["user"].dataType
+        return kept.join(users.select(F.col("user").try_cast(kind).alias("user")), "user", "left_semi")
 
     def dates_only(self) -> Filters:
         return Filters(start=self.start, end=self.end)

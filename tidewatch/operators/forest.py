@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, SAMPLE_SIZE, SEED, TREES
-from ..staging import spread
 from .sampling import tree_samples
 from .scaling import steady_vector
 
@@ -33,14 +32,14 @@ def average_path(n: int) -> float:
     return 2.0 * (log(n - 1) + EULER_GAMMA) - 2.0 * (n - 1) / n
 
 
-def _tree_grower(names: tuple[str, ...], depth: int, seed: int):
+def _tree_grower(names: tuple[str, ...], depth: int, size: int, seed: int):
     """A function growing one tree from its sample.
 
     The tree is a complete binary layout: node i has children 2i+1 and 2i+2, a node
     that does not split sends every row left, and ``path`` holds the path length of
     each slot on the last level.
     """
-    mean_path = [average_path(n) for n in range(SAMPLE_SIZE + 1)]
+    mean_path = [average_path(n) for n in range(size + 1)]
 
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -121,7 +120,6 @@ class Forest:
         """Add one score column per setting, all from one pass over the rows."""
         columns = self.score_columns()
         score = _scorer(features, self, columns)
-        features = spread(features, self.rows)
         scored = features.withColumn("_scores", score(F.struct(*steady_vector(self.names))))
         return scored.withColumns({c: F.col(f"_scores.{c}") for c in columns.values()}).drop("_scores")
 
@@ -188,18 +186,21 @@ def fit_forest(
     trees: int = TREES,
     seed: int = SEED,
     names: tuple[str, ...] = FEATURES,
+    max_samples: int = SAMPLE_SIZE,
+    bootstrap: bool = False,
 ) -> Forest:
     """Grow ``trees`` trees for every ``max_features`` share on the same row samples.
 
+    A tree sees ``max_samples`` rows, or all of a smaller table, with replacement if ``bootstrap``.
     ``features`` is read twice (a count and the sample pass) and should be staged.
     """
     rows = features.count()
-    size = min(SAMPLE_SIZE, rows)
+    size = min(max_samples, rows)
     if not size:
         return Forest(names, 0, 0, {share: _empty_forest() for share in shares})
     depth = max(1, ceil(log2(max(size, 2))))
     vectors = features.select("user", "date", *steady_vector(names))
-    samples = tree_samples(vectors, rows, trees, size, seed)
+    samples = tree_samples(vectors, rows, trees, size, seed, bootstrap)
     shares_column = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
     # A stated number of partitions: the sample is small in bytes, but growing it is
     # work, and AQE would otherwise merge it all into one task.
@@ -208,7 +209,7 @@ def fit_forest(
         samples.select("tree_id", "pick", shares_column.alias("max_features"), *names)
         .repartition(tasks, "max_features", "tree_id")
         .groupBy("max_features", "tree_id")
-        .applyInPandas(_tree_grower(names, depth, seed), FOREST_SCHEMA)
+        .applyInPandas(_tree_grower(names, depth, size, seed), FOREST_SCHEMA)
     )
     # Bounded by trees * 2^depth numbers per setting, independent of the data.
     table = grown.toPandas().sort_values(["max_features", "tree_id"])
@@ -234,7 +235,11 @@ class IsolationForest:
     trees: int = TREES
     seed: int = SEED
     centred: bool = True
+    max_samples: int = SAMPLE_SIZE
+    bootstrap: bool = False
 
     def fit(self, features: DataFrame) -> Forest:
-        return fit_forest(features, (self.max_features,), self.trees, self.seed)
+        return fit_forest(
+            features, (self.max_features,), self.trees, self.seed, max_samples=self.max_samples, bootstrap=self.bootstrap
+        )
 

@@ -8,8 +8,8 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many values the built-in ``percentile`` aggregate may hold them all.
-IN_TASK_VALUES = 250_000
+# A bracket with this many values or fewer is listed instead of narrowed further.
+LISTED_VALUES = 25_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -36,28 +36,19 @@ def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probs: list[float],
-    in_task: int = IN_TASK_VALUES,
-    rows: int | None = None,
+    listed: int = LISTED_VALUES,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns, NULLs ignored.
 
-    Small columns take one ``percentile`` aggregate. For larger ones a quantile
-    sketch proposes a bracket around each wanted rank, an exact count says on which
-    side or inside it the rank lies, and the search goes on there. Each round is two
+    A quantile sketch proposes a bracket around each wanted rank, an exact count says on
+    which side or inside it the rank lies, and the search goes on there until the bracket
+    holds ``listed`` values or fewer. Each round is two
     aggregations with partial aggregation and shrinks the bracket several thousand
     times; ``df`` should therefore be a staged table. Only counts and bracket ends
     come to the driver, and the result is exact whatever the sketch's error.
-    ``rows``, if known, saves counting a table that is small anyway.
     """
     df = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    if rows is None or rows > in_task:
-        sizes = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
-        rows = max(sizes.values())
-    if rows <= in_task:
-        wanted = F.array(*(F.lit(float(p)) for p in probs))
-        row = df.agg(*(F.percentile(c, wanted).alias(c) for c in columns)).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-
+    sizes = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
     ranks = {
         (c, rank)
         for c in columns
@@ -65,7 +56,7 @@ def exact_quantiles(
         for p in probs
         for rank in (floor(p * (sizes[c] - 1)), ceil(p * (sizes[c] - 1)))
     }
-    found = _values_at(df, sizes, ranks, in_task)
+    found = _values_at(df, sizes, ranks, listed)
     return {c: [_interpolated(found, c, sizes[c], p) for p in probs] for c in columns}
 
 
@@ -80,12 +71,11 @@ def _interpolated(found: dict, column: str, size: int, prob: float) -> float | N
     return (upper - position) * at_lower + (position - lower) * at_upper
 
 
-def _values_at(df: DataFrame, sizes: dict, ranks: set, in_task: int) -> dict:
+def _values_at(df: DataFrame, sizes: dict, ranks: set, listed: int) -> dict:
     found: dict[tuple[str, int], float] = {}
     search = {(c, rank): _Span(c, 0, sizes[c]) for c, rank in sorted(ranks)}
     while search:
-        # Narrow well below the one-task limit, as several spans are listed at once.
-        small = {key: span for key, span in search.items() if span.size <= max(in_task // 10, 1)}
+        small = {key: span for key, span in search.items() if span.size <= max(listed, 1)}
         large = {key: span for key, span in search.items() if key not in small}
         found |= _read_small(df, small)
         search = {}

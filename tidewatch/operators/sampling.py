@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _HASH_SPAN = 2**64
+# A sample with replacement is one without from this many copies of every row.
+COPIES = 16
 
 
 def _hash_below(hashed: Column, rate: float) -> Column:
@@ -21,24 +23,26 @@ def _share(wanted: int, rows: int) -> float:
     return (wanted + 8 * wanted**0.5 + 64) / max(rows, 1)
 
 
-def tree_samples(features: DataFrame, rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` rows without replacement for each tree: the input plus ``tree_id, pick``.
+def tree_samples(
+    features: DataFrame, rows: int, trees: int, size: int, seed: int, bootstrap: bool = False
+) -> DataFrame:
+    """``size`` rows for each tree, drawn on its own: the input plus ``tree_id, pick``.
 
-    Rows are drawn by a hash of (seed, user, date), so the sample does not depend on
-    the partitioning. With enough rows, one hash per row keeps a little more than
-    ``trees * size`` of them, and those are dealt out by rank: only that bounded
-    remainder is ordered. With fewer rows every tree draws on its own.
+    Rows are drawn by a hash of (seed, tree, copy, user, date), so the sample does not depend on
+    the partitioning. Where a row is read it is tested for every tree, and only the hits, a
+    little more than ``trees * size`` in all, are shuffled and ranked within their tree.
+    ``bootstrap`` draws with replacement.
     """
-    if rows >= trees * size:
-        hashed = features.withColumn("pick", F.xxhash64(F.lit(seed), "user", "date"))
-        kept = hashed.where(_hash_below(F.col("pick"), _share(trees * size, rows)))
-        order = F.row_number().over(W.orderBy("pick", "user", "date")) - 1
-        dealt = kept.withColumn("place", order).where(F.col("place") < trees * size)
-        return dealt.withColumn("tree_id", F.col("place") % trees).drop("place")
-    every_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    hashed = features.withColumn("tree_id", every_tree).withColumn(
-        "pick", F.xxhash64(F.lit(seed), "tree_id", "user", "date")
+    copies = COPIES if bootstrap else 1
+    draws = F.sequence(F.lit(0), F.lit(trees * copies - 1))
+
+    def pick(draw: Column) -> Column:
+        return F.xxhash64(F.lit(seed), draw, "user", "date")
+
+    rate = _share(size, rows * copies)
+    hits = F.filter(draws, lambda draw: _hash_below(pick(draw), rate))
+    drawn = features.withColumn("draw", F.explode(hits)).withColumns(
+        {"pick": pick(F.col("draw")), "tree_id": F.col("draw") % trees}
     )
-    kept = hashed.where(_hash_below(F.col("pick"), _share(size, rows)))
     order = F.row_number().over(W.partitionBy("tree_id").orderBy("pick", "user", "date"))
-    return kept.withColumn("place", order).where(F.col("place") <= size).drop("place")
+    return drawn.withColumn("place", order).where(F.col("place") <= size).drop("place", "draw")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import FEATURES
 
-# Steps per unit kept of fractional features by :func:`steady_vector`.
-STEPS = 1e9
+# Significant digits kept of fractional features by :func:`steady_vector`.
+DIGITS = 12
 WHOLE = (
     "logon_count", "http_requests", "device_activity_count",
     "hour", "weekday", "is_working_day", "is_off_hours",
@@ -23,12 +23,18 @@ def model_vector(names: tuple[str, ...] = FEATURES) -> list[Column]:
 
 
 def steady_vector(names: tuple[str, ...] = FEATURES) -> list[Column]:
-    """The model vector to nine decimals: the last bit of a sum depends on the order
+    """The model vector to twelve significant digits: the last bit of a sum depends on the order
     of its parts and must not flip a tree's split. ``rint`` stays in double arithmetic."""
     vector = model_vector(names)
-    return [
-        x if c in WHOLE else (F.rint(x * STEPS) / STEPS).alias(c) for c, x in zip(names, vector, strict=True)
-    ]
+    return [x if c in WHOLE else _steady(x).alias(c) for c, x in zip(names, vector, strict=True)]
+
+
+def _steady(x: Column) -> Column:
+    power = F.least(F.lit(DIGITS + 300.0), F.lit(float(DIGITS - 1)) - F.floor(F.log10(F.abs(x))))
+    # Whole powers of ten are exact up to 10^22; beyond, the same rounding happens on every machine.
+    scale = F.pow(F.lit(10.0), F.abs(power))
+    rounded = F.when(power >= 0, F.rint(x * scale) / scale).otherwise(F.rint(x / scale) * scale)
+    return F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(rounded)
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.display import two_decimals
 from ..functions.calendar import weekday_name
 from ..functions.levels import level_rank
 from ..operators.filters import Filters
@@ -74,7 +75,7 @@ def kpi_texts(figures: DataFrame) -> DataFrame:
     counts = ("filtered_rows", "total_unique_users", "total_high_risk_events")
     return figures.select(
         *(F.format_number(c, 0).alias(c) for c in counts),
-        F.format_string("%.2f", "avg_risk_score").alias("avg_risk_score"),
+        two_decimals(F.col("avg_risk_score")).alias("avg_risk_score"),
         F.concat_ws(" to ", "range_start", "range_end").alias("data_range"),
     )
 
@@ -147,7 +148,8 @@ def top_high_risk(risk: DataFrame, filters: Filters = ALL, limit: int = 5) -> Da
 def flagged_events(risk: DataFrame, filters: Filters = ALL, limit: int = DETAIL_ROWS) -> DataFrame:
     """The High and Medium rows with the largest scores, in the detail layout."""
     flagged = filters.apply(risk).where(F.col("risk_level").isin("High", "Medium"))
-    return flagged.orderBy(F.desc("risk_score"), "user", "date", "hour").limit(limit).select(*DETAIL_COLUMNS)
+    time = "event_time" if "event_time" in risk.columns else "hour"
+    return flagged.orderBy(F.desc("risk_score"), "user", "date", time).limit(limit).select(*DETAIL_COLUMNS)
 
 
 def daily_activity_trend(risk: DataFrame, filters: Filters = ALL) -> DataFrame:

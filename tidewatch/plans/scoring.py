@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import risk_level
+from ..functions.timestamps import truncate
 from ..operators.activity import merged_activity
 from ..operators.features import behaviour_features
 from ..operators.quantiles import exact_quantiles
 from ..operators.scorers import Scorer, ZScore
 from ..schema import CONTAMINATION, EXPORT, FEATURES, HIGH_QUANTILE, KEYS, MEDIUM_QUANTILE
-from ..staging import stage, stage_counted
+from ..staging import stage
 
 
 @dataclass(frozen=True)
@@ -37,21 +38,21 @@ class Scored:
 
 
 def features_of(log: DataFrame, grain: str) -> DataFrame:
-    """Feature table of a tagged log.
+    """Feature table of a tagged log, whose dates are truncated to ``grain`` here.
 
     At the raw grain the merged table is staged, because it is read once for the
     rows and once for the chunk summaries.
     """
-    activity = merged_activity(log)
+    activity = merged_activity(log.withColumn("date", truncate(F.col("date"), grain)))
     if grain == "raw":
         return behaviour_features(stage(activity, "activity"), chunk="minute")
     return behaviour_features(activity)
 
 
-def find_thresholds(scored: DataFrame, rows: int, contamination: float, centred: bool) -> Thresholds:
+def find_thresholds(scored: DataFrame, contamination: float, centred: bool) -> Thresholds:
     """Level and contamination cuts as exact quantiles of a staged ``raw_score``."""
     probs = [1.0 - contamination, MEDIUM_QUANTILE, HIGH_QUANTILE]
-    found = exact_quantiles(scored, ["raw_score"], probs, rows=rows)["raw_score"]
+    found = exact_quantiles(scored, ["raw_score"], probs)["raw_score"]
     cuts = [c if c is not None else 0.0 for c in found]
     return Thresholds(*cuts, offset=cuts[0] if centred else 0.0)
 
@@ -81,8 +82,8 @@ def score_features(
     """
     scorer = scorer or ZScore()
     model = scorer.fit(features)
-    scored, rows = stage_counted(model.transform(features).select(*keep, "raw_score"), "scores")
-    cuts = find_thresholds(scored, rows, contamination, scorer.centred)
+    scored = stage(model.transform(features).select(*keep, "raw_score"), "scores")
+    cuts = find_thresholds(scored, contamination, scorer.centred)
     return Scored(with_levels(scored, cuts).drop("raw_score"), cuts, model)
 
 

@@ -24,14 +24,15 @@ from ..schema import (
     SEED,
     TREES,
 )
-from ..staging import stage_counted
+from ..staging import stage
 from .scoring import Scored, Thresholds, with_levels
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Staged scores of every forest and the summary of every grid point."""
+    """Staged scores of every forest, nothing else, and the summary of every grid point."""
 
+    features: DataFrame
     scores: DataFrame
     summary: DataFrame
     forest: Forest
@@ -48,16 +49,15 @@ def run_grid(
     """Fit, score once for all forests, and summarise in one aggregation."""
     forest = fit_forest(features, shares, trees, seed)
     columns = forest.score_columns()
-    scored = forest.score_all(features).select(*KEYS, *FEATURES, *columns.values())
-    scores, rows = stage_counted(scored, "grid")
+    scores = stage(forest.score_all(features).select(*columns.values()), "grid")
     probs = [*(1.0 - c for c in contaminations), MEDIUM_QUANTILE, HIGH_QUANTILE]
-    quantiles = exact_quantiles(scores, list(columns.values()), probs, rows=rows)
+    quantiles = exact_quantiles(scores, list(columns.values()), probs)
     cuts = {}
     for share, column in columns.items():
         *offsets, medium, high = (q if q is not None else 0.0 for q in quantiles[column])
         for c, offset in zip(contaminations, offsets, strict=True):
             cuts[c, share] = Thresholds(offset, medium, high, offset)
-    return Grid(scores, _summary(scores, columns, cuts), forest, cuts)
+    return Grid(features, scores, _summary(scores, columns, cuts), forest, cuts)
 
 
 def _summary(scores: DataFrame, columns: dict[float, str], cuts: dict) -> DataFrame:
@@ -80,7 +80,8 @@ def _point(score: Column, contamination: float, share: float, cut: Thresholds) -
 
 def best_config(summary: DataFrame) -> DataFrame:
     """The grid point with the widest spread; a tie goes to the smallest settings."""
-    return summary.orderBy(F.desc("score_std"), "contamination", "max_features").limit(1)
+    # Rounded, so that the last bits of a sum decide nothing.
+    return summary.orderBy(F.desc(F.round("score_std", 9)), "contamination", "max_features").limit(1)
 
 
 def grid_pivot(summary: DataFrame, value: str, shares: tuple[float, ...] = GRID_MAX_FEATURES) -> DataFrame:
@@ -91,12 +92,11 @@ def grid_pivot(summary: DataFrame, value: str, shares: tuple[float, ...] = GRID_
 
 
 def tuned_scores(grid: Grid) -> Scored:
-    """Risk table of the best grid point, from the forest already grown and scored."""
+    """Risk table of the best grid point: its forest, already grown, scores the features once more."""
     best = best_config(grid.summary).first()
     share = best["max_features"] if best else GRID_MAX_FEATURES[-1]
     contamination = best["contamination"] if best else CONTAMINATION
-    column = grid.forest.score_columns()[share]
     cuts = grid.cuts[contamination, share]
-    frame = with_levels(grid.scores.withColumnRenamed(column, "raw_score"), cuts)
     chosen = replace(grid.forest, trees={share: grid.forest.trees[share]})
-    return Scored(frame.drop("raw_score", *grid.forest.score_columns().values()), cuts, chosen)
+    frame = with_levels(chosen.transform(grid.features), cuts)
+    return Scored(frame.drop("raw_score"), cuts, chosen)

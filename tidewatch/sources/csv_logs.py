@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import parse, truncate
+from ..functions.timestamps import parse
 from ..session import require_utc
+from ..schema import SOURCES
 from .activity_log import tagged_log
 
 # Column order of the headerless web log.
 HTTP_COLUMNS = ("id", "date", "time", "user", "pc", "url", "content", "bytes_sent", "bytes_received")
+BYTES = ("bytes_sent", "bytes_received")
 HTTP_SCHEMA = ", ".join(f"`{name}` STRING" for name in HTTP_COLUMNS)
 
 # Texts the usual CSV readers of data-frame libraries take as missing.
@@ -27,37 +31,55 @@ def _present(name: str) -> Column:
     return F.when(~column.isin(*MISSING_TEXTS), column)
 
 
-def _whole_number(name: str) -> Column:
-    # Through DECIMAL, so that a count written as "12.0" is read as 12.
-    return F.expr(f"try_cast(`{name}` AS DECIMAL(20, 0))").cast("bigint")
+def _number(name: str) -> Column:
+    """A finite DOUBLE; fractions stay, and text that is no number becomes NULL."""
+    value = _present(name).try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def _paths(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
 
+def read_headered(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """All columns as text, named by the header: only its line is read ahead, no types are inferred.
 
-def read_headered(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text, named by the header: only its line is read ahead, no types are inferred."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    The files of one path must agree in their header, or the read fails. Paths of a list may
+    differ; each is read by its own header and the columns are put together by name.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
+    frames = [reader.csv(p) for p in _paths(path)]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 
 
-def read_http(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_http(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     reader = spark.read.schema(HTTP_SCHEMA).option("header", False)
-    return reader.option("escape", '"').option("multiLine", multi_line).csv(path)
+    return reader.option("escape", '"').option("multiLine", multi_line).csv(_paths(path))
 
 
-def _keyed(raw: DataFrame, fmt: str) -> DataFrame:
-    return raw.withColumns({"user": _present("user"), "raw_date": _present("date")}).withColumn(
+def _keyed(raw: DataFrame, fmt: str, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed columns and ``problem``: the column whose text could not be read, NULL for a good row."""
+    keyed = raw.withColumns({"user": _present("user"), "raw_date": _present("date")}).withColumn(
         "date", parse(F.col("raw_date"), fmt)
     )
+    unread = F.when(F.col("raw_date").isNotNull() & F.col("date").isNull(), "date")
+    for name in numbers:
+        unread = unread.when(_present(name).isNotNull() & _number(name).isNull(), name)
+    return keyed.withColumn("problem", unread)
 
 
 def read_logs(
     spark: SparkSession,
-    logon: str,
-    device: str,
-    http: str,
+    logon: str | list[str],
+    device: str | list[str],
+    http: str | list[str],
     *,
     timestamp_format: str = DEFAULT_FORMAT,
     multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(logon, http, device) with parsed dates. ``raw_date`` keeps the text for :func:`rejected`.
+    """(logon, http, device) with parsed dates. ``raw_*`` keep the text and ``problem`` names an unread
+    column for :func:`rejected`.
 
     ``multi_line`` reads quoted line breaks but makes each file one task; leave it
     off for large unsplit files.
@@ -65,27 +87,52 @@ def read_logs(
     require_utc(spark)
     plain = [
         _keyed(read_headered(spark, path, multi_line), timestamp_format).select(
-            "user", "date", "raw_date", _present("activity").alias("activity")
+            "user", "date", "raw_date", _present("activity").alias("activity"), "problem"
         )
         for path in (logon, device)
     ]
-    web = _keyed(read_http(spark, http, multi_line), timestamp_format).select(
+    web = _keyed(read_http(spark, http, multi_line), timestamp_format, BYTES).select(
         "user",
         "date",
         "raw_date",
         _present("url").alias("url"),
-        _whole_number("bytes_sent").alias("bytes_sent"),
-        _whole_number("bytes_received").alias("bytes_received"),
+        *(_number(name).alias(name) for name in BYTES),
+        *(F.col(name).alias(f"raw_{name}") for name in BYTES),
+        "problem",
     )
     return plain[0], web, plain[1]
 
 
-def read_tagged(spark: SparkSession, logon: str, device: str, http: str, grain: str = "raw", **options) -> DataFrame:
-    """The tagged log of three CSV paths at the given grain."""
+def read_tagged(
+    spark: SparkSession, logon: str | list[str], device: str | list[str], http: str | list[str],
+    rejects: str | None = None, **options,
+) -> DataFrame:
+    """The tagged log of three CSV paths, with dates as they stand.
+
+    A row with a date or number that cannot be read ends the job that meets it, unless a ``rejects``
+    folder is given: then such rows are written there, as JSON with their log, text and problem,
+    and left out.
+    """
     frames = read_logs(spark, logon, device, http, **options)
-    return tagged_log(*(f.withColumn("date", truncate(F.col("date"), grain)) for f in frames))
+    if rejects is None:
+        message = F.concat(F.lit("unreadable "), F.col("problem"), F.lit(" on "), F.coalesce("raw_date", F.lit("an undated row")))
+        checked = F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(F.col("date"))
+        frames = tuple(f.withColumn("date", checked) for f in frames)
+    else:
+        rejected_rows(frames).write.mode("append").json(rejects)
+        frames = tuple(f.where("problem is null") for f in frames)
+    return tagged_log(*frames)
+
+
+def rejected_rows(frames: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """The rows of all logs that could not be read: log, user, problem and the raw texts."""
+    parts = []
+    for source, frame in zip(SOURCES, frames, strict=True):
+        raw = [F.col(f"raw_{n}") if source == "http" else F.lit(None).cast("string").alias(f"raw_{n}") for n in BYTES]
+        parts.append(rejected(frame).select(F.lit(source).alias("log"), "user", "problem", "raw_date", *raw))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rejected(frame: DataFrame) -> DataFrame:
-    """Rows whose date text could not be parsed; write them aside before aggregating."""
-    return frame.where(F.col("raw_date").isNotNull() & F.col("date").isNull())
+    """Rows with a date or number whose text could not be read."""
+    return frame.where(F.col("problem").isNotNull())

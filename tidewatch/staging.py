@@ -48,17 +48,3 @@ def stage_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return stage_counted(df, name)[0]
-
-
-# Rows one task of a compute-heavy pass should get at most where cores are idle.
-ROWS_PER_TASK = 200_000
-
-
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Give a compute-heavy pass over a table of few files a task per core.
-
-    Files split by size, so a table small in bytes is scanned by few tasks. Beyond
-    200,000 rows per core the scan has tasks enough and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < rows < cores * ROWS_PER_TASK else df
