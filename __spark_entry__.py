@@ -26,10 +26,12 @@ from tidewatch.operators.forest import IsolationForest
 from tidewatch.operators.scaling import FeatureScaler
 from tidewatch.plans import reports, scoring, tuning
 from tidewatch.schema import EXPORT, FEATURES, KEYS, MEASURES
+from tidewatch.functions.timestamps import truncate
+from tidewatch.sources import csv_logs
 from tidewatch.sources.activity_log import split_log
 from tidewatch.sources.events import read_events, tag_events
-from tidewatch.sources.risk_table import as_report_table
-from tidewatch.staging import stage
+from tidewatch.sources.risk_table import as_report_table, open_risk_table, read_risk_csv, write_csv, write_risk_table
+from tidewatch.staging import stage, stage_path
 from tidewatch.streaming import activity_stream as streaming
 
 try:  # the text operators are optional: the rest works without their folder
@@ -179,6 +181,11 @@ def anomaly_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reports.anomaly_counts(scored.frame)
 
 
+def zscore_anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The negated score, low for the unusual."""
+    return _rounded(_scored(spark, sf, ()).select(*KEYS, "anomaly_score"))
+
+
 def kmeans_scores(spark: SparkSession, sf: str) -> DataFrame:
     frame = scoring.score_features(_model_features(spark, sf), ClusterDistance(), keep=KEYS).frame
     return _rounded(frame.select(*KEYS, "anomaly", "risk_score", "risk_level"))
@@ -233,6 +240,30 @@ def filter_spikes(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(SPIKING.apply(risk).select("user", "date", "device_spike", "risk_level"))
 
 
+def filter_spikes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Logon and web spikes together, over a limit."""
+    risk = _risk(spark, sf, ("logon_spike", "http_spike"))
+    kept = Filters(spikes=("logon_spike", "http_spike"), spike_limit=0.5).apply(risk)
+    return _rounded(kept.select("user", "date", "logon_spike", "http_spike", "risk_level"))
+
+
+def filter_spikes_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """A z of exactly 1, which few rows have."""
+    risk = _risk(spark, sf, ("logon_spike",))
+    return Filters(spikes=("logon_spike",), spike_mode="exact").apply(risk).select("user", "date", "risk_level")
+
+
+def filter_user_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as a list of texts, matched by the table's type; unknown ones match nothing."""
+    kept = Filters(users=[*map(str, range(1, 40)), "nobody"]).apply(_risk(spark, sf))
+    return _rounded(kept.select("user", "date", "risk_score", "risk_level"))
+
+
+def filter_open_range(spark: SparkSession, sf: str) -> DataFrame:
+    kept = Filters(end=END).apply(_risk(spark, sf))
+    return _rounded(kept.select("user", "date", "risk_score", "risk_level"))
+
+
 def filter_activity_type(spark: SparkSession, sf: str) -> DataFrame:
     risk = _risk(spark, sf, MEASURES)
     kept = Filters(activity=("logon", "device")).apply(risk)
@@ -276,6 +307,12 @@ def kpi_texts(spark: SparkSession, sf: str) -> DataFrame:
     return reports.kpi_texts(reports.kpis(_risk(spark, sf), RANGE))
 
 
+def kpi_texts_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """The display of a selection without rows."""
+    nothing = Filters(start=date(2199, 1, 1), end=date(2199, 1, 31))
+    return reports.kpi_texts(reports.kpis(_risk(spark, sf), nothing))
+
+
 def kpis_extended(spark: SparkSession, sf: str) -> DataFrame:
     return reports.kpis_extended(_risk(spark, sf, MEASURES), RANGE)
 
@@ -316,22 +353,82 @@ def high_risk_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return reports.high_risk_heatmap(_risk(spark, sf, ("hour", "weekday")))
 
 
+# --- files in and out ---
+
+BAD_USERS = 50  # of so many users one has unreadable dates, another unreadable byte counts
+
+
+def _csv_logs(spark: SparkSession, sf: str, spoiled: bool = False) -> dict[str, str]:
+    """The events as the three CSV logs, in the shared folder."""
+    events = read_events(spark, sf).where("ts is not null and user_id is not null")
+    user, kind = F.col("user_id"), F.col("event_type")
+    moment = F.date_format("ts", "MM/dd/yyyy HH:mm:ss")
+    bad = lambda at: F.lit(spoiled) & (user % BAD_USERS == at)
+    moment = F.when(bad(7), F.lit("some day")).otherwise(moment)
+    received = F.get_json_object("props", "$.k")
+    received = F.when(bad(8), F.lit("many")).otherwise(received)
+    rows = events.select(user.cast("string").alias("user"), moment.alias("date"), kind.alias("activity"), "value", received.alias("k"))
+    paths = {name: stage_path(spark, f"csv-{name}") for name in ("logon", "device", "http")}
+    for name, kinds in (("logon", ("signup", "error")), ("device", ("purchase",))):
+        write_csv(rows.where(F.col("activity").isin(*kinds)).select("activity", "user", "date"), paths[name])
+    web = rows.where(F.col("activity").isin("view", "click"))
+    none = F.lit(None).cast("string")
+    web = web.select(none.alias("id"), "date", none.alias("time"), "user", none.alias("pc"), F.col("activity").alias("url"),
+                     none.alias("content"), F.col("value").cast("string"), "k")
+    web.write.option("header", False).option("escape", '"').csv(paths["http"])
+    return paths
+
+
+def csv_logs_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """The events written as CSV logs, read back and merged by hour."""
+    log = csv_logs.read_tagged(spark, **_csv_logs(spark, sf))
+    merged = act.merged_activity(log.withColumn("date", truncate(F.col("date"), "hour")))
+    whole = F.col("http_bytes_received").cast("bigint")
+    return _rounded(merged.withColumns({"user": F.col("user").cast("bigint"), "http_bytes_received": whole}))
+
+
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of spoiled logs that cannot be read, counted by log and reason."""
+    frames = csv_logs.read_logs(spark, **_csv_logs(spark, sf, spoiled=True))
+    return csv_logs.rejected_rows(frames).groupBy("log", "problem").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def csv_export_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20-column export as CSV, opened again."""
+    path = stage_path(spark, "csv-export")
+    write_csv(scoring.build_risk_table(_log(spark, sf), "hour").select(*EXPORT), path)
+    back = read_risk_csv(spark, path).withColumns({"date": F.col("event_time"), "user": F.col("user").cast("bigint")})
+    return _rounded(back.withColumn("http_bytes_received", F.col("http_bytes_received").cast("bigint")).select(*EXPORT))
+
+
+def stored_table_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The table written, opened, cut to a date range, and asked by SQL."""
+    path = stage_path(spark, "stored")
+    write_risk_table(scoring.build_risk_table(_log(spark, sf), "hour"), path)
+    kept = RANGE.apply(open_risk_table(spark, path))
+    asked = "SELECT user, date, risk_score, risk_level FROM {stored} WHERE risk_level <> :level"
+    return _rounded(spark.sql(asked, args={"level": "Low"}, stored=kept))
+
+
 # --- streaming ---
 
 
 def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
-    """User-days of the event stream whose window closed behind the watermark."""
+    """User-days of the event stream: those whose window the watermark closed, and the open ones."""
     stream = streaming.windowed_activity(streaming.event_stream(spark, sf, "events.parquet"))
-    return _rounded(streaming.drain(stream, "daily"))
+    closed = streaming.drain(stream, "daily")
+    return _rounded(closed.unionByName(streaming.open_windows(closed, read_events(spark, sf))))
 
 
 def stream_scored_activity(spark: SparkSession, sf: str) -> DataFrame:
     """The same user-days scored and levelled with the batch job's baseline and cuts."""
-    activity = _activity(spark, sf, "day")
-    cuts = scoring.score_features(scoring.features_of(_log(spark, sf, "day"), "day"), keep=KEYS).thresholds
+    activity = stage(_activity(spark, sf, "day"), "activity")
+    cuts = scoring.score_features(feat.behaviour_features(activity), keep=KEYS).thresholds
     stream = streaming.windowed_activity(streaming.event_stream(spark, sf, "events.parquet"))
     baseline = stage(feat.user_baseline(activity), "baseline")
     scored = streaming.drain(streaming.scored_activity(stream, baseline, cuts), "scored")
+    open_ = streaming.open_windows(scored, read_events(spark, sf))
+    scored = scored.unionByName(streaming.scored_activity(open_, baseline, cuts))
     return _rounded(scored.select(*KEYS, *MEASURES, "risk_score", "risk_level"))
 
 
@@ -345,7 +442,8 @@ REGISTERED: tuple[Query, ...] = (
     filtered_export, date_bounds, user_picker, kpis, kpi_texts, kpis_extended, risk_level_distribution,
     high_risk_daily, top_users_high_risk, risk_score_histogram, flagged_events, daily_activity_trend,
     high_risk_by_hour, high_risk_by_weekday, high_risk_heatmap, stream_daily_activity,
-    stream_scored_activity,
+    stream_scored_activity, zscore_anomaly_score, filter_spikes_all, filter_spikes_exact, filter_user_list,
+    filter_open_range, kpi_texts_empty, csv_logs_activity, rejected_rows, csv_export_round_trip, stored_table_report,
 )
 
 

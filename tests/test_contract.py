@@ -11,7 +11,7 @@ from conftest import DATA
 
 # Checked against brute force in test_forest.py instead.
 WITHOUT_SQL = {
-    "iforest_scores", "anomaly_counts", "kmeans_scores", "grid_summary", "grid_pivot_std",
+    "iforest_scores", "anomaly_counts", "grid_summary", "grid_pivot_std",
     "grid_pivot_anomalies", "best_config", "tuned_risk_export",
 }
 

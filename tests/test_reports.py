@@ -149,3 +149,11 @@ def test_histogram_edges(spark, scores, bins):
     df = spark.createDataFrame([(s,) for s in scores], "risk_score DOUBLE")
     found = {r.bucket: r["count"] for r in reports.risk_score_histogram(df).collect()}
     assert found == bins
+
+
+@pytest.mark.parametrize("value", [0.0, 0.125, 0.375, 1.005, 2.675, 1.115, 8.345, 0.005, 1234567.125, 1e9 + 0.305, -0.125, -1.005, None])
+def test_two_decimals_as_in_c(spark, value):
+    from tidewatch.functions.display import two_decimals
+
+    got = spark.createDataFrame([(value,)], "x DOUBLE").select(two_decimals(F.col("x"))).first()[0]
+    assert got == (None if value is None else "%.2f" % value)

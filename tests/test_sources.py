@@ -171,3 +171,24 @@ def test_steps_that_need_utc(spark):
             require_utc(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_stored_files_are_sorted_by_day(spark, risk, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "risk")
+    write_risk_table(risk, path)
+    files = glob.glob(f"{path}/event_month=*/*.parquet")
+    assert files
+    for file in files:
+        held = pq.ParquetFile(file).read(columns=["date", "user"]).to_pylist()
+        assert held == sorted(held, key=lambda r: (r["date"], r["user"]))
+
+
+def test_sizes_of_a_session():
+    from tidewatch.session import DEFAULTS, initial_partitions
+
+    assert initial_partitions(0) == 200 and initial_partitions(100 << 40) == 200_000
+    assert initial_partitions(1 << 40) == 8192 and "spark.ui.enabled" not in DEFAULTS

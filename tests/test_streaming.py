@@ -56,3 +56,29 @@ def test_scored_stream(spark, batch):
     assert {r.risk_score for r in got if r.user == 3} == {0.0}
     known = [r for r in got if r.user != 3]
     assert known and all((r.risk_score, r.risk_level) == expected[r.user, r.date] for r in known)
+
+
+def test_closed_and_open_windows_are_the_batch_answer(spark, batch, files):
+    closed = streaming.drain(streaming.windowed_activity(streaming.event_stream(spark, files, "*.parquet")))
+    both = closed.unionByName(streaming.open_windows(closed, read_events(spark, DATA)))
+    assert _by_key(both) == _by_key(batch) and both.count() == batch.count()
+    nothing = streaming.open_windows(closed.limit(0), read_events(spark, DATA))
+    assert _by_key(nothing) == _by_key(batch)
+
+
+def test_second_run_goes_on_where_the_first_stopped(spark, batch, tmp_path):
+    source, table, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    events = read_events(spark, DATA)
+    middle = datetime(2024, 1, 15)
+    events.where(F.col("ts") < middle).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = streaming.windowed_activity(streaming.event_stream(spark, source, "*.parquet"))
+        return _by_key(streaming.drain(stream, path=table, checkpoint=marks)), spark.read.parquet(table).count()
+
+    first, rows = run()
+    assert run() == (first, rows) and rows == len(first) > 0
+    events.where(F.col("ts") >= middle).coalesce(1).write.mode("append").parquet(source)
+    second, rows = run()
+    assert rows == len(second) > len(first) and first.items() <= second.items()
+    assert second.items() <= _by_key(batch).items()

@@ -12,11 +12,11 @@ _SPLIT = float(2**27 + 1)
 def two_decimals(x: Column) -> Column:
     """Text with two decimals, rounded by the exact binary value and half to even, as C does.
 
-    NULL stays NULL. The product with 100 is itself rounded, so its exact distance from the
+    NULL stays NULL; values may reach 10^13. The product with 100 is itself rounded, so its exact distance from the
     whole number beside it decides.
     """
     high = x * _SPLIT - (x * _SPLIT - x)
     whole = F.rint(x * 100.0)
-    off = (high * 100.0 - whole) + (x - high) * 100.0
-    nearest = whole + F.when(off > 0.5, 1.0).when(off < -0.5, -1.0).otherwise(0.0)
+    most, rest = high * 100.0 - whole, (x - high) * 100.0
+    nearest = whole + F.when((most - 0.5) + rest > 0, 1.0).when((most + 0.5) + rest < 0, -1.0).otherwise(0.0)
     return F.when(x.isNotNull(), F.format_string("%.2f", nearest / 100.0))

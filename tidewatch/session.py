@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # AQE decides broadcast versus shuffled joins from measured sizes, splits skewed
@@ -18,16 +19,34 @@ DEFAULTS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    "spark.ui.enabled": "false",
 }
 
 
-def build_session(app: str = "tidewatch", master: str | None = None, **conf: str) -> SparkSession:
-    """Create a session; on a cluster leave ``master`` to spark-submit."""
+# Input bytes that one partition of a first shuffle should get.
+PARTITION_BYTES = 128 << 20
+
+
+def initial_partitions(input_bytes: int) -> int:
+    """Partitions a shuffle of the whole input starts with; AQE merges them but never adds any."""
+    return min(max(200, -(-input_bytes // PARTITION_BYTES)), 200_000)
+
+
+def build_session(
+    app: str = "tidewatch", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Create a session; on a cluster leave ``master`` to spark-submit.
+
+    What spark-submit or the configuration files set stays; only ``conf`` overrides it.
+    ``input_bytes`` sizes the shuffles of a large input.
+    """
+    given = SparkConf()
+    settings = {key: value for key, value in DEFAULTS.items() if not given.contains(key)}
+    if input_bytes is not None:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions(input_bytes))
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -66,17 +66,28 @@ def scored_activity(activity: DataFrame, baseline: DataFrame, cuts: Thresholds)
     return scored.withColumn("risk_level", level).drop(*(c for c in baseline.columns if c != "user"))
 
 
-def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
-    """Process everything available into a Parquet table in the shared folder and open it.
+def open_windows(closed: DataFrame, events: DataFrame, window: str = "1 day") -> DataFrame:
+    """The windows of the batch table ``events`` behind the last of ``closed``.
 
-    Append mode with a checkpoint: a restarted run continues without repeating rows.
+    The watermark has not closed these yet. Closed and open together are the batch answer, but
+    for rows that came too late for their window.
+    """
+    last = closed.agg(F.max("date")).scalar()
+    return windowed_activity(events, window).where(last.isNull() | (F.col("date") > last))
+
+
+def drain(stream: DataFrame, name: str = "stream", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process everything available into a Parquet table and open it.
+
+    Append mode with a checkpoint: a later run with the same ``path`` and ``checkpoint`` goes on
+    with new files and repeats nothing. Without them the table is a new one in the shared folder.
     """
     spark = stream.sparkSession
-    path = stage_path(spark, name)
+    path = path or stage_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", f"{path}-checkpoint")
+        .option("checkpointLocation", checkpoint or f"{path}-checkpoint")
         .trigger(availableNow=True)
         .start(path)
     )
