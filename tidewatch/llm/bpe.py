@@ -6,7 +6,8 @@ of the bytes. So reading left to right it is enough to know, for every start at
 still be under way, the encoding up to there. Those starts reach back no further than the longest
 token, which makes the set of them, with the tokens not yet certain, a state of a finite
 transducer. Tokens that all starts agree on are emitted. States and transitions are made when
-first met and kept.
+first met and kept. In a word of up to SHORT bytes the lookahead may run to the end of the word:
+there the longest start stands for all, and its transitions alone are determinised.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tidewatch.llm.common import pieces
 
 # Bounds on what a worker keeps; beyond them it starts anew, with the same results.
 KEPT_TRANSITIONS, KEPT_WORDS, KEPT_PAIRS = 150_000, 200_000, 300_000
+SHORT = 64  # bytes of a word whose end is awaited
 _NEVER = 1 << 40
+_LEAF: dict[int, int] = {}
 STEP = 50_000  # ids decoded at a time
 
 
@@ -55,19 +58,41 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
-        self.ends: dict[int, int] = {}  # node -> token
-        nodes = 1
+        self.child: list[dict[int, int]] = [{}]  # of each trie node by byte; the root is 0
+        self.ends: list[int] = [-1]  # token that ends at a node
         for token, i in ranks.items():
             node = 0
             for b in token:
-                key = node * 256 + b
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = nodes
-                    nodes += 1
+                below = self.child[node].get(b)
+                if below is None:
+                    below = len(self.ends)
+                    if not self.child[node]:
+                        self.child[node] = {}
+                    self.child[node][b] = below
+                    self.child.append(_LEAF)
+                    self.ends.append(-1)
+                node = below
             self.ends[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Of each node the node of its longest proper suffix, and the tokens that end there, longest first.
+        self.fail = [0] * len(self.ends)
+        self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * len(self.ends)
+        level, depth = [0], 0
+        while level:
+            below, depth = [], depth + 1
+            for node in level:
+                for byte, target in self.child[node].items():
+                    at = self.fail[node]
+                    while at and byte not in self.child[at]:
+                        at = self.fail[at]
+                    if node:
+                        self.fail[target] = self.child[at].get(byte, 0)
+                    own = ((depth, self.ends[target]),) if self.ends[target] >= 0 else ()
+                    self.suffixes[target] = own + self.suffixes[self.fail[target]]
+                    below.append(target)
+            level = below
+        self.follow: list[dict[int, int] | None] = [None] * len(self.ends)
+        self.followed = 0
+        self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple | None] = {-1: ()}
         self._forget()
 
@@ -100,7 +125,8 @@ class Transducer:
 
         Each side forms as it would alone; a join across them happens when its rank comes first.
         """
-        known = self.pairs.get((left, right))
+        key = (left + 1) << 32 | right
+        known = self.pairs.get(key)
         if known is not None:
             return known
         if len(self.pairs) > KEPT_PAIRS:
@@ -109,7 +135,7 @@ class Transducer:
             if token not in self.histories:
                 self.histories[token] = self._history(token)
         a, b = self.histories[left], self.histories[right]
-        self.pairs[left, right] = known = a is not None and b is not None and (left < 0 or self._never_cross(a, b))
+        self.pairs[key] = known = a is not None and b is not None and (left < 0 or self._never_cross(a, b))
         return known
 
     def _never_cross(self, a: tuple, b: tuple) -> bool:
@@ -128,13 +154,13 @@ class Transducer:
 
     def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         spots, starts = self.states[number]
-        child, under_way, added = self.child.get, [], None
+        child, ends, under_way, added = self.child, self.ends, [], None
         for spot, node in starts:
-            node = child(node * 256 + byte)
+            node = child[node].get(byte)
             if node:
                 under_way.append((spot, node))
-                if added is None and node in self.ends and self._apart(spots[spot][1], self.ends[node]):
-                    added = (spot, self.ends[node])
+                if added is None and ends[node] >= 0 and self._apart(spots[spot][1], ends[node]):
+                    added = (spot, ends[node])
         if added is None:
             raise ValueError("the vocabulary lacks a single byte")
         spots += (added,)
@@ -176,10 +202,56 @@ class Transducer:
         self.finals[number] = rest = tuple(reversed(out))
         return rest
 
+    def _follow(self, node: int, byte: int) -> int:
+        """The trie node of the longest suffix that is under way after one more byte; kept."""
+        at = node
+        while at and byte not in self.child[at]:
+            at = self.fail[at]
+        target = self.child[at].get(byte, 0)
+        if self.followed > KEPT_TRANSITIONS:
+            self.follow = [None] * len(self.ends)
+            self.followed = 0
+        if self.follow[node] is None:
+            self.follow[node] = {}
+        self.follow[node][byte] = target
+        self.followed += 1
+        return target
+
+    def _short(self, data: bytes) -> tuple[int, ...]:
+        """The tokens of a short word: the last token of every prefix, then back along them.
+
+        All starts under way are suffixes of the longest one, so its trie node stands for them, and
+        the word's end for the end of the lookahead.
+        """
+        node, lasts, sizes, follow, suffixes, pairs = 0, [-1], [0], self.follow, self.suffixes, self.pairs
+        for at, byte in enumerate(data):
+            known = follow[node]
+            target = known.get(byte) if known is not None else None
+            if target is None:
+                target = self._follow(node, byte)
+                follow = self.follow
+            node = target
+            for size, token in suffixes[node]:
+                left = lasts[at + 1 - size]
+                apart = pairs.get((left + 1) << 32 | token)
+                if self._apart(left, token) if apart is None else apart:
+                    lasts.append(token)
+                    sizes.append(size)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+        out, at = [], len(data)
+        while at:
+            out.append(lasts[at])
+            at -= sizes[at]
+        return tuple(reversed(out))
+
     def word(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
+        if len(data) <= SHORT:
+            return self._short(data)
         if len(self.moves) > KEPT_TRANSITIONS:
             self._forget()
         number, out, moves = 0, [], self.moves
@@ -218,11 +290,11 @@ class Encoder:
 
     def _match(self, text: str) -> tuple[int, ...]:
         ids = self.matches.get(text)
+        if ids is None and len(self.matches) > KEPT_WORDS:
+            self.matches = {}
         if ids is None:
             ids = self.machine.word(text.encode("utf-8", "surrogatepass"))
             if len(text) <= 48:
-                if len(self.matches) > KEPT_WORDS:
-                    self.matches.clear()
                 self.matches[text] = ids
         return ids
 
@@ -336,23 +408,24 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) for every row of ``docs`` (doc_id, text).
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``ids`` of every row of ``docs`` (text and those columns).
 
     Null and empty texts have no ids. Every match of ``pattern`` is encoded by itself; there are
     no special tokens. ``path`` is a rank file that every executor can open. Repeated rows are
     encoded each; other columns are not read.
     """
+    chosen = docs.select(*keep, "text")
+    schema = StructType([chosen.schema[name] for name in keep]).add("ids", ArrayType(IntegerType()))
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = encoder(path, pattern)
         for piece in pieces(batches, "text"):
             ids = [np.array(engine.encode(t), dtype=np.int32) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "ids": ids}, schema=target)
+            yield pa.RecordBatch.from_pydict({name: piece.column(name) for name in keep} | {"ids": ids}, schema=target)
 
-    schema = "doc_id long, ids array<int>"
-    target = to_arrow_schema(StructType.fromDDL(schema))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
