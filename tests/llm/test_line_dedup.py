@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, d long, k long, line string, s string, n_cha
 
 
 def words(line):
-    return frozenset(re.findall("[^\\x20\\x09-\\x0D]+", line.translate({c: c + 32 for c in range(65, 91)})))
+    return frozenset(re.findall("[^\\x20\\x09-\\x0D]+", line.lower()))
 
 
 def removed(rows):

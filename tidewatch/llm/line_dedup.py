@@ -22,33 +22,43 @@ PERCENT = 75
 # Words share this many counters; a word's rarity is the count of its counter on a log scale.
 COUNTERS = 1 << 20
 SALTS = 8
+_BLANKS = "[\\x20\\x09-\\x0D]+"
 _LOW = 0xFFFFFFFF
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _words(line: Column) -> Column:
-    """Distinct words as 32-bit hashes: runs of other than space and ASCII blanks, A-Z folded."""
-    parts = F.split(F.translate(line, _UPPER, _LOWER), "[\\x20\\x09-\\x0D]+")
-    filled = F.filter(parts, lambda w: w != "")
-    return F.array_distinct(F.transform(filled, lambda w: F.xxhash64(w).bitwiseAND(F.lit(_LOW))))
+def _split(text: Column) -> Column:
+    """Words in lower case: runs of other than space and ASCII blanks; a blank text gives one empty word."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), _BLANKS)
+
+
+def _hash(word: Column) -> Column:
+    """A word as a number of 32 bits."""
+    return F.xxhash64(word).bitwiseAND(F.lit(_LOW))
+
+
+def _document() -> list[Column]:
+    """``d`` orders documents, with null ids last; ``k`` tells texts of one id apart."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("d")
+    return [key, F.xxhash64("text").alias("k")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, k, line, text): every line; rows that share doc_id and text are one document.
+    """(d, k, line, text, line_a, line_b): every line with words, and a 128-bit key of its text.
 
-    ``d`` orders documents, with null ids last; ``k`` tells texts of one id apart.
+    Rows that share doc_id and text are one document.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("d")
-    rows = docs.select(key, F.xxhash64("text").alias("k"), F.split("text", "\n").alias("lines"))
-    return rows.select("d", "k", F.posexplode("lines").alias("line", "text"))
+    rows = docs.select(*_document(), F.split("text", "\n").alias("lines"))
+    rows = rows.select("d", "k", F.posexplode("lines").alias("line", "text"))
+    rows = rows.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select("*", F.xxhash64("text").alias("line_a"), F.xxhash64(F.lit(1), "text").alias("line_b"))
 
 
-def _rarity(lines: DataFrame) -> Column:
+def _rarity(docs: DataFrame) -> Column:
     """Log-scale counts of all counters as one array, computed once per query: COUNTERS bytes."""
-    spark = lines.sparkSession
-    seen = lines.select(F.explode(_words(F.col("text"))).alias("w")).groupBy((F.col("w") % COUNTERS).alias("c"))
-    all_counters = spark.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n"))
-    counts = seen.agg(F.count(F.lit(1)).alias("n")).union(all_counters).groupBy("c").agg(F.sum("n").alias("n"))
+    words = docs.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    seen = words.groupBy((_hash(F.col("w")) % COUNTERS).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    all_counters = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n"))
+    counts = seen.union(all_counters).groupBy("c").agg(F.sum("n").alias("n"))
     level = F.when(F.col("n") < 2, 0).otherwise(F.least(F.lit(120), F.ceil(F.log2("n") * 3))).cast("tinyint")
     counted = stage(counts.select("c", level.alias("level")), "rarity")
     gathered = counted.agg(F.sort_array(F.collect_list(F.struct("c", "level"))).alias("all"))
@@ -60,31 +70,32 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def _classes(lines: DataFrame, percent: int) -> DataFrame:
-    """One row per distinct word set: id, set_a, set_b, n, d, k, line of its first occurrence, its words
-    by rarity, how many of them occur once in the corpus, and the parity map."""
-    keyed = lines.withColumn("rarity", _rarity(lines))
-    ordered = F.sort_array(F.transform(_words(F.col("text")), lambda w: F.get("rarity", (w % COUNTERS).cast("int")) * F.lit(1 << 32) + w))
-    keyed = keyed.select("d", "k", "line", ordered.alias("v")).where(F.size("v") > 0)
-    keyed = keyed.select("d", "k", "line", F.transform("v", lambda v: (v % F.lit(1 << 32))).alias("s"), F.size(F.filter("v", lambda v: v < F.lit(1 << 32))).alias("once"))
-    keyed = keyed.select("d", "k", "line", "once", F.transform("s", lambda w: (w - F.lit(1 << 31)).cast("int")).alias("s"), *_set_key(F.col("s")))
-    first = F.min(F.struct("d", "k", "line")).alias("first")
-    grouped = keyed.groupBy("set_a", "set_b").agg(first, F.first("s").alias("s"), F.first("once").alias("once"))
-    return grouped.select("set_a", "set_b", "first", "s", "once", F.size("s").alias("n"))
+def _prefix(n: Column, percent: int) -> Column:
+    """How many of a set's first words a similar set must share one of."""
+    return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def _set_key(words: Column) -> list[Column]:
-    """A 128-bit key of a set of words."""
-    ordered = F.sort_array(words)
-    return [F.xxhash64(ordered).alias("set_a"), F.xxhash64(F.lit(1), ordered).alias("set_b")]
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per distinct line: line_a, line_b, the first place it occurs, its words by rarity, how many
+    of the prefix occur once in the corpus, and the parity map."""
+    lines = _lines(docs).withColumn("rarity", _rarity(docs))
+    level = lambda w: F.get("rarity", (w % COUNTERS).cast("int"))
+    words = F.array_distinct(F.transform(_split(F.col("text")), _hash))
+    ordered = F.sort_array(F.transform(words, lambda w: level(w) * F.lit(1 << 32) + w))
+    lines = lines.select("d", "k", "line", "line_a", "line_b", ordered.alias("v"))
+    head = F.slice("v", F.lit(1), _prefix(F.size("v"), percent))
+    once = F.size(F.filter(head, lambda v: v < F.lit(1 << 32)))
+    short = F.transform("v", lambda v: (v % F.lit(1 << 32) - F.lit(1 << 31)).cast("int"))
+    lines = lines.select("d", "k", "line", "line_a", "line_b", once.alias("once"), short.alias("s"))
+    first = F.min(F.struct("d", "k", "line")).alias("first")
+    grouped = lines.groupBy("line_a", "line_b").agg(first, F.first("s").alias("s"), F.first("once").alias("once"))
+    return grouped.select("line_a", "line_b", "first", "s", "once", F.size("s").alias("n"), _parity(F.col("s")).alias("parity"))
 
 
 def _parity(words: Column) -> Column:
     """Bit b tells whether an odd number of words falls on b; sets differ at least where maps do."""
-    bits = F.transform(
-        words, lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    )
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -100,26 +111,26 @@ def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _settled_early(classes: DataFrame, percent: int) -> DataFrame:
-    """Ids of lines that are similar to an early line sharing one of three keys of least hashes."""
-    least = F.slice(F.sort_array(F.transform("s", lambda w: F.xxhash64(w))), 1, 3)
-    of = classes.select("id", "n", "first", least.alias("l"))
+    """Ids of lines found similar to an earlier one among a few that share one of three keys of least hashes."""
+    least = F.slice(F.sort_array("s"), 1, 3)
+    of = classes.select("id", "n", least.alias("l"))
     key = lambda a, b: F.xxhash64(F.get("l", F.lit(a)), F.get("l", F.lit(b)))
     keys = F.array_distinct(F.array(key(0, 1), key(0, 2), key(1, 2)))
-    rows = of.select(F.explode(keys).alias("key"), "id", "n", "first")
+    rows = of.select(F.explode(keys).alias("key"), "id", "n")
     filled = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    salted = rows.join(filled.select("key"), "key")
-    heads = salted.groupBy("key", F.pmod("id", F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("first", "id", "n")).alias("head"))
+    salted = stage(rows.join(filled.select("key"), "key"), "line-keys")
+    heads = salted.groupBy("key", (F.xxhash64("id") % SALTS).alias("salt")).agg(F.min(F.struct("id", "n")).alias("head"))
     heads = heads.groupBy("key").agg(F.collect_list("head").alias("heads"))
-    fits = lambda h: (h["first"] < F.col("first")) & (F.least(h["n"], F.col("n")) * 100 >= F.greatest(h["n"], F.col("n")) * percent)
+    fits = lambda h: (h["id"] != F.col("id")) & (F.least(h["n"], F.col("n")) * 100 >= F.greatest(h["n"], F.col("n")) * percent)
     met = salted.join(heads, "key").select("id", F.explode(F.filter("heads", fits)).alias("head"))
-    return _similar(met.select(F.col("head.id").alias("x"), F.col("id").alias("y")), classes, percent)
+    return _similar(met.select(F.least("head.id", "id").alias("x"), F.greatest("head.id", "id").alias("y")), classes, percent)
 
 
 def _joined(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """Ids of lines not settled that are similar to an earlier line: the prefix join."""
-    # Ids that an index or a probe may need: the first words of the order, except those seen once.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    at = F.sequence(F.col("once") + 1, prefix.cast("int"))
+    # The first words of the order, except those seen once, which no other line has.
+    prefix = _prefix(F.col("n"), percent)
+    at = F.sequence(F.col("once") + 1, prefix)
     entry = F.transform(at, lambda i: F.struct(i.cast("int").alias("i"), F.get("s", i - 1).alias("w")))
     entries = classes.where(F.col("once") < prefix).select("id", "n", "parity", F.col("first.d.id").alias("d"), F.explode(entry).alias("e"))
     entries = entries.select("id", "n", "parity", "d", "e.i", "e.w")
@@ -144,22 +155,20 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(d, k, line) of every line to be removed: an earlier line of the corpus is similar.
 
     Lines are cut at line feeds; earlier means a smaller doc_id (null last), then the hash of the
-    text, then the line number from 0. Sets of words (runs of other than space and ASCII blanks, A-Z
-    folded) are similar if 100 * shared >= percent * union; lines without words stay. Rows with equal
-    doc_id and text are one document and lose the same lines. Words are compared by 32-bit hashes
-    (two words of a pair of 50-word lines agree by chance with probability 6e-7), sets by 128 bits.
+    text, then the line number from 0. Sets of words (runs of other than space and ASCII blanks, in
+    lower case) are similar if 100 * shared >= percent * union; lines without words stay. Rows with
+    equal doc_id and text are one document and lose the same lines. Words are compared by 32-bit
+    hashes (two words of a pair of 50-word lines agree by chance with probability 6e-7), lines are
+    held equal by 128 bits.
     """
-    lines = _lines(docs)
+    docs = docs.select("doc_id", "text")
     # The ids are fixed by writing them.
-    classes = _classes(lines, percent).withColumn("id", F.monotonically_increasing_id())
-    classes = stage(classes.withColumn("parity", _parity(F.col("s"))), "line-classes")
+    classes = stage(_classes(docs, percent).withColumn("id", F.monotonically_increasing_id()), "line-classes")
     settled = stage(_settled_early(classes, percent), "lines-settled")
     matched = stage(_joined(classes, settled, percent), "lines-matched")
     gone = settled.union(matched).distinct().withColumn("gone", F.lit(True))
-    verdicts = classes.select("id", "set_a", "set_b", "first").join(gone, "id", "left").select("set_a", "set_b", "first", "gone")
-    keyed = lines.withColumn("s", _words(F.col("text"))).where(F.size("s") > 0)
-    keyed = keyed.select("d", "k", "line", *_set_key(F.col("s")))
-    placed = keyed.join(verdicts, ["set_a", "set_b"])
+    verdicts = classes.select("id", "line_a", "line_b", "first").join(gone, "id", "left").drop("id")
+    placed = _lines(docs).drop("text").join(verdicts, ["line_a", "line_b"])
     later = F.struct("d", "k", "line") != F.col("first")
     return placed.where(later | F.col("gone")).select("d", "k", "line").distinct()
 
@@ -168,9 +177,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_lines, removed): per row of ``docs`` (doc_id, text) its lines and the numbers, from 0 and
     ascending, of those that ``repeated_lines`` removes. Null text has no lines; empty text has one."""
     gone = repeated_lines(docs, percent).groupBy("d", "k").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("d")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.xxhash64("text").alias("k"), count.alias("n_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_document(), count.alias("n_lines"))
     joined = rows.join(gone, ["d", "k"], "left")
     return joined.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
@@ -183,8 +191,7 @@ def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame
     """
     names = docs.columns
     gone = repeated_lines(docs, percent).groupBy("d", "k").agg(F.collect_set("line").alias("removed"))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("d")
-    rows = docs.select(F.struct(*names).alias("row"), key, F.xxhash64("text").alias("k"))
+    rows = docs.select(F.struct(*names).alias("row"), *_document())
     joined = rows.join(gone, ["d", "k"], "left")
     lines = F.split("row.text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("removed", i))

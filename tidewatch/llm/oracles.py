@@ -95,8 +95,8 @@ WITH l AS (
     FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)
   )
 ), w AS (
-  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda v: v <> ''))) AS s FROM l
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(lower(x),
+         '[\\x20\\x09-\\x0D]+'), lambda v: v <> ''))) AS s FROM l
 ), f AS (
   SELECT doc_id, line, s, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS turn FROM w WHERE len(s) > 0
 ), c AS (
