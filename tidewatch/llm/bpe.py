@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tidewatch.llm.common import pieces
 
 # Bounds on what a worker keeps; beyond them it starts anew, with the same results.
-KEPT_TRANSITIONS, KEPT_WORDS, KEPT_PAIRS = 150_000, 200_000, 300_000
+KEPT_TRANSITIONS, KEPT_WORDS, KEPT_PAIRS = 150_000, 400_000, 300_000
 SHORT = 64  # bytes of a word whose end is awaited
 _NEVER = 1 << 40
 _LEAF: dict[int, int] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidewatch.staging import stage, stage_path
+from tidewatch import staging
+from tidewatch.staging import stage_path
 
-__all__ = ["PIECE_CHARS", "arrow_map", "pieces", "stage", "stage_path", "table", "word_count"]
+__all__ = ["PIECE_CHARS", "arrow_map", "brief_shuffles", "pieces", "stage", "stage_path", "table", "word_count"]
 
 # Characters of text one vectorised step works on; long texts come alone.
 PIECE_CHARS = 1_000_000
@@ -24,6 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+# Spark's setting to remove the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write removes its shuffle files when it is done: what follows reads the table written."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and opened again, its shuffle files gone."""
+    with brief_shuffles(df.sparkSession):
+        return staging.stage(df, name)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds about PIECE_CHARS bytes of ``text``, or one row."""
     for batch in batches:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewatch.staging import stage_path
+from tidewatch.llm.common import brief_shuffles, stage_path
 
 MAX_ROUNDS = 60
 
@@ -22,7 +22,8 @@ def _written(df: DataFrame) -> tuple[DataFrame, tuple]:
     seen = Observation()
     spark, path = df.sparkSession, stage_path(df.sparkSession, "edges")
     digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    df.observe(seen, *digest).write.parquet(path)
+    with brief_shuffles(spark):
+        df.observe(seen, *digest).write.parquet(path)
     return spark.read.schema("a long, b long").parquet(path), (seen.get["n"], seen.get["h"])
 
 

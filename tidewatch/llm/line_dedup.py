@@ -115,7 +115,7 @@ def _settled_early(classes: DataFrame, percent: int) -> DataFrame:
     least = F.slice(F.sort_array("s"), 1, 3)
     of = classes.select("id", "n", least.alias("l"))
     key = lambda a, b: F.xxhash64(F.get("l", F.lit(a)), F.get("l", F.lit(b)))
-    keys = F.array_distinct(F.array(key(0, 1), key(0, 2), key(1, 2)))
+    keys = F.when(F.size("l") > 2, F.array(key(0, 1), key(0, 2), key(1, 2))).otherwise(F.array(key(0, 1)))
     rows = of.select(F.explode(keys).alias("key"), "id", "n")
     filled = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     salted = stage(rows.join(filled.select("key"), "key"), "line-keys")
@@ -127,28 +127,29 @@ def _settled_early(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _joined(classes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Ids of lines not settled that are similar to an earlier line: the prefix join."""
+    """Ids of lines that are similar to an earlier line, one of the two not being settled: the prefix join.
+
+    Both sides of the join are the same entries, so they are shuffled once.
+    """
     # The first words of the order, except those seen once, which no other line has.
     prefix = _prefix(F.col("n"), percent)
-    at = F.sequence(F.col("once") + 1, prefix)
-    entry = F.transform(at, lambda i: F.struct(i.cast("int").alias("i"), F.get("s", i - 1).alias("w")))
-    entries = classes.where(F.col("once") < prefix).select("id", "n", "parity", F.col("first.d.id").alias("d"), F.explode(entry).alias("e"))
-    entries = entries.select("id", "n", "parity", "d", "e.i", "e.w")
-    # Only a word with a line that is not settled can find anything.
-    probes = entries.join(settled, "id", "left_anti") if settled is not None else entries
-    p, r = probes.alias("p"), entries.alias("r")
-    c = lambda name: F.col(name)
-    apart = c("p.n") + c("r.n") - _overlap(c("p.n"), c("r.n"), percent) * 2
+    head = F.slice("s", F.col("once") + 1, F.greatest(prefix - F.col("once"), F.lit(0)))
+    heads = classes.select("id", "n", "parity", "once", head.alias("head")).where(F.size("head") > 0)
+    heads = heads.join(settled.withColumn("done", F.lit(True)), "id", "left")
+    entries = heads.select("id", "n", "parity", "once", F.col("done").isNull().alias("open"), F.posexplode("head").alias("i", "w"))
+    entries = entries.select("id", "n", "parity", "open", (F.col("i") + F.col("once")).alias("i"), "w")
+    p, r = entries.alias("p"), entries.alias("r")
+    n, m = F.col("p.n"), F.col("r.n")
+    apart = n + m - _overlap(n, m, percent) * 2
     may = (
-        (c("p.w") == c("r.w"))
-        & (c("p.id") != c("r.id"))
-        & (c("p.d").isNull() | (c("r.d") <= c("p.d")))
-        & (F.least("p.n", "r.n") * 100 >= F.greatest("p.n", "r.n") * percent)
-        & (c("p.i") + c("r.i") - 2 <= apart)
-        & (F.bit_count(c("p.parity").bitwiseXOR(c("r.parity"))) <= apart)
+        (F.col("p.w") == F.col("r.w"))
+        & (F.col("p.id") < F.col("r.id"))
+        & (F.col("p.open") | F.col("r.open"))
+        & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+        & (F.col("p.i") + F.col("r.i") <= apart)
+        & (F.bit_count(F.col("p.parity").bitwiseXOR(F.col("r.parity"))) <= apart)
     )
-    met = p.join(r, may).select(F.least("p.id", "r.id").alias("x"), F.greatest("p.id", "r.id").alias("y"))
-    return _similar(met, classes, percent)
+    return _similar(p.join(r, may).select(F.col("p.id").alias("x"), F.col("r.id").alias("y")), classes, percent)
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
