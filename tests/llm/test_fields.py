@@ -74,6 +74,35 @@ def test_language_of_odd_texts(spark):
     assert marginal[:5, model.languages.index("en")].mean() > 0.7 and marginal[5:, model.languages.index("de")].mean() > 0.7
 
 
+def test_every_language_is_learned(spark):
+    # 70 languages of eight words each, every fourth document held out.
+    rng, rows = np.random.default_rng(1), []
+    for number in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)]
+        for copy in range(4):
+            rows.append((len(rows), " ".join(rng.choice(words, 12)), f"l{number:02}", copy == 3))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean")
+    model = language.fit_language_model(table, ~F.col("held"))
+    assert len(model.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in language.predict_language(table, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, held in rows if held]) > 0.97
+    assert [language.sample_docs(n) for n in (0, 4, 16, 100, 10_000)] == [300, 300, 300, 48, 8]
+
+
+def test_blocks_of_lines_do_not_change_the_model(monkeypatch):
+    texts = ["the cat and\nthe dog of the house", "der hund und\n\ndie katze von dem haus", "le chien et\nle chat"] * 9
+    whole = language.train(texts, ["en", "de", "fr"] * 9)
+    judged = language._judged(whole, [*texts, None, "", "\n"])
+    monkeypatch.setattr(language, "_CELLS", 12)
+    parts = language.train(texts, ["en", "de", "fr"] * 9)
+    assert np.allclose(whole.grams, parts.grams, atol=1e-3) and np.allclose(whole.chain.move, parts.chain.move, atol=1e-3)
+    again = language._judged(whole, [*texts, None, "", "\n"])
+    assert judged[0] == again[0] and np.allclose(judged[1], again[1])
+    monkeypatch.setattr(language, "_WEIGHTS", 3 << 12)
+    small = language.train(texts, ["en", "de", "fr"] * 9)
+    assert small.grams.shape == (1 << 12, 3) and language._judged(small, texts)[0] == ["en", "de", "fr"] * 9
+
+
 def test_quality_of_held_out_documents(spark):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     got = {r.doc_id: r for r in op6_quality(spark, FOLDER).collect()}

@@ -21,8 +21,9 @@ from tidewatch.llm.common import arrow_map, pieces
 from tidewatch.llm.crf import Adam, Chain, forward_backward, gold_counts
 from tidewatch.llm.hashing import mix, words_of
 
-# Bounds of the training sample: documents of each language, characters of each, languages.
-TRAIN_DOCS, TRAIN_CHARS, MAX_LANGUAGES = 300, 1_500, 64
+# Bounds of the training sample: documents of each language, characters of each. With many languages
+# each has an equal share of ALL_DOCS, and no fewer than LEAST_DOCS; the number of languages has no bound.
+TRAIN_DOCS, TRAIN_CHARS, ALL_DOCS, LEAST_DOCS = 300, 1_500, 4_800, 8
 TABLE = 1 << 16
 LEXICON_LEAST = 3
 EPOCHS = 40
@@ -31,13 +32,15 @@ _LETTER = regex.compile(r"\p{L}")
 # ASCII other than letters ends a word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalpha())
 _GROUP = 1 << 20
+# Numbers (words by languages) that one step holds, and weights of one table.
+_CELLS, _WEIGHTS = 1 << 22, 1 << 23
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    grams: np.ndarray  # (TABLE, languages)
-    affixes: np.ndarray  # (TABLE, languages)
+    grams: np.ndarray  # (TABLE or a smaller power of two, languages)
+    affixes: np.ndarray  # as grams
     words: np.ndarray  # sorted hashes of the lexicon
     word_weights: np.ndarray
     chain: Chain
@@ -72,7 +75,10 @@ def word_features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _emissions(model: LanguageModel, starts, ends, hashes, grams, affixes) -> np.ndarray:
-    out = model.affixes[affixes].sum(axis=1)
+    fold = len(model.grams) - 1
+    out = np.zeros((len(starts), len(model.languages)), dtype=np.float32)
+    for column in affixes.T:
+        out += model.affixes[column & fold]
     if len(model.words):
         slot = np.minimum(np.searchsorted(model.words, hashes), len(model.words) - 1)
         known = model.words[slot] == hashes
@@ -84,7 +90,7 @@ def _emissions(model: LanguageModel, starts, ends, hashes, grams, affixes) -> np
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + most)))
         a, b = starts[first], ends[last - 1]
         sums = np.zeros((b - a + 1, out.shape[1]), dtype=np.float32)
-        np.cumsum(model.grams[grams[a:b]], axis=0, out=sums[1:])
+        np.cumsum(model.grams[grams[a:b] & fold], axis=0, out=sums[1:])
         out[first:last] += sums[ends[first:last] - a] - sums[starts[first:last] - a]
         first = last
     return out
@@ -97,6 +103,17 @@ def _line_lengths(data: bytes, starts: np.ndarray) -> np.ndarray:
     return np.diff(cuts)
 
 
+def _blocks(lengths: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """Runs of lines of up to ``most`` words, or of one line, and their words."""
+    ends = np.cumsum(lengths)
+    first, word = 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, word + most, side="right")))
+        if ends[last - 1] > word:
+            yield slice(first, last), slice(word, int(ends[last - 1]))
+        first, word = last, int(ends[last - 1])
+
+
 def word_marginals(model: LanguageModel, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and their distributions over the languages."""
     found = word_features(data)
@@ -116,60 +133,78 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel:
     labels = np.array([number[x] for x in languages], dtype=np.int64)
     labels = labels[np.searchsorted(begins, starts, side="right") - 1] if k else labels
     lexicon, seen = np.unique(hashes, return_counts=True)
-    lexicon = lexicon[seen >= LEXICON_LEAST]
+    lexicon, seen = lexicon[seen >= LEXICON_LEAST], seen[seen >= LEXICON_LEAST]
+    # With many languages the tables have fewer rows, and the lexicon keeps its most common words.
+    lexicon = np.sort(lexicon[np.argsort(-seen, kind="stable")[: max(1, _WEIGHTS // max(k, 1))]])
+    table = TABLE
+    while table * k > _WEIGHTS and table > 1 << 10:
+        table //= 2
     model = LanguageModel(
-        names, np.zeros((TABLE, k), np.float32), np.zeros((TABLE, k), np.float32), lexicon,
+        names, np.zeros((table, k), np.float32), np.zeros((table, k), np.float32), lexicon,
         np.zeros((len(lexicon), k), np.float32), Chain.flat(k),
     )
     if k < 2 or not len(starts):
         return model
     lengths = _line_lengths(data, starts)
     moves, first = gold_counts(labels, lengths, k)
-    truth = np.eye(k)[labels]
     slot = np.minimum(np.searchsorted(lexicon, hashes), max(len(lexicon) - 1, 0))
     known = lexicon[slot] == hashes if len(lexicon) else np.zeros(len(hashes), bool)
-    inside = np.repeat(np.arange(len(starts)), ends - starts)
-    at = np.arange(len(inside)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + starts[inside]
-    gram_slots = grams[at]
     steps = Adam([model.grams, model.affixes, model.word_weights, model.chain.move, model.chain.start], 0.05)
     n = len(starts)
     for _ in range(EPOCHS):
-        marginal, _, expected, begun = forward_backward(
-            _emissions(model, starts, ends, hashes, grams, affixes), lengths, model.chain, count_moves=True
-        )
-        gap = (truth - marginal) / n
-        by_gram = np.stack([np.bincount(gram_slots, gap[inside, j], TABLE) for j in range(k)], axis=1)
-        by_affix = np.stack([np.bincount(affixes.ravel(), np.repeat(gap[:, j], affixes.shape[1]), TABLE) for j in range(k)], axis=1)
-        by_word = np.stack([np.bincount(slot[known], gap[known, j], len(lexicon)) for j in range(k)], axis=1)
+        by_gram, by_affix, by_word = np.zeros((table, k)), np.zeros((table, k)), np.zeros((len(lexicon), k))
+        gone, begun = np.zeros((k, k)), np.zeros(k)
+        for lines, at in _blocks(lengths, max(1, _CELLS // k)):
+            begin, end = starts[at], ends[at]
+            marginal, _, moved, led = forward_backward(
+                _emissions(model, begin, end, hashes[at], grams, affixes[at]), lengths[lines], model.chain, count_moves=True
+            )
+            gap = -marginal
+            gap[np.arange(len(gap)), labels[at]] += 1
+            gap /= n
+            size = end - begin
+            inside = np.repeat(np.arange(len(size)), size)
+            gram_slots = grams[np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size) + begin[inside]] & (table - 1)
+            affix_slots, met = affixes[at].ravel() & (table - 1), known[at]
+            for j in range(k):
+                by_gram[:, j] += np.bincount(gram_slots, gap[inside, j], table)
+                by_affix[:, j] += np.bincount(affix_slots, np.repeat(gap[:, j], affixes.shape[1]), table)
+                by_word[:, j] += np.bincount(slot[at][met], gap[met, j], len(lexicon))
+            gone += moved
+            begun += led
         steps.ascend(
             [
                 by_gram - 1e-6 * model.grams, by_affix - 1e-6 * model.affixes, by_word - 1e-6 * model.word_weights,
-                (moves - expected) / n - 1e-4 * model.chain.move, (first - begun) / n - 1e-4 * model.chain.start,
+                (moves - gone) / n - 1e-4 * model.chain.move, (first - begun) / n - 1e-4 * model.chain.start,
             ]
         )
     return model
 
 
+def sample_docs(languages: int) -> int:
+    """Documents to learn from of each of so many languages."""
+    return max(LEAST_DOCS, min(TRAIN_DOCS, ALL_DOCS // max(languages, 1)))
+
+
 def fit_language_model(docs: DataFrame, learn_from: Column) -> LanguageModel:
     """Train on a bounded sample of the rows of ``docs`` (doc_id, text, lang) where ``learn_from`` holds.
 
-    The sample has the TRAIN_DOCS documents of least hash of each of the MAX_LANGUAGES most common
-    non-null languages, and whole lines of each up to about TRAIN_CHARS characters.
+    Every non-null language is learned. The sample has the documents of least hash of each, as many
+    as ``sample_docs`` says, and whole lines of each up to about TRAIN_CHARS characters.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     rows = rows.where("lang is not null and text is not null and doc_id is not null").where(learn_from)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = [r[0] for r in counts.select("lang").collect()]
+    most = sample_docs(rows.select("lang").distinct().count())
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(languages)).select("doc_id", "lang")
-    chosen = ids.withColumn("turn", F.row_number().over(ranked)).where(F.col("turn") <= TRAIN_DOCS)
+    ids = rows.select("doc_id", "lang")
+    chosen = ids.withColumn("turn", F.row_number().over(ranked)).where(F.col("turn") <= most)
     sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     part = F.substring("text", 1, 4 * TRAIN_CHARS).alias("text")
     held = [tuple(r) for r in sample.select("doc_id", part, "lang").collect()]
     texts, names, seen = [], [], {}
     for _, text, lang in sorted(held, key=lambda r: (r[0], r[1], r[2])):
         seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= TRAIN_DOCS:  # rows may share a doc_id
+        if seen[lang] <= most:  # rows may share a doc_id
             cut = text.find("\n", TRAIN_CHARS)
             texts.append(text if cut < 0 else text[:cut])
             names.append(lang)
@@ -182,12 +217,18 @@ def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     if not k:
         return [UNDEFINED] * len(texts), [0.0] * len(texts)
-    starts, ends, marginal = word_marginals(model, b"\n".join(coded))
-    begins = np.cumsum([0] + [len(c) + 1 for c in coded])
-    cuts = np.searchsorted(starts, begins)
-    sums = np.concatenate([np.zeros((1, k)), np.cumsum(marginal * (ends - starts)[:, None], axis=0)])
+    data = b"\n".join(coded)
+    starts, ends, hashes, grams, affixes = word_features(data)
+    owner = np.searchsorted(np.cumsum([len(c) + 1 for c in coded]), starts, side="right")
+    sums = np.zeros((len(texts), k))
+    lengths = _line_lengths(data, starts)
+    for lines, at in _blocks(lengths, max(1, _CELLS // k)):
+        emit = _emissions(model, starts[at], ends[at], hashes[at], grams, affixes[at])
+        marginal = forward_backward(emit, lengths[lines], model.chain)[0]
+        own, cuts = np.unique(owner[at], return_index=True)
+        sums[own] += np.add.reduceat(marginal * (ends - starts)[at, None], cuts, axis=0)
     for i, text in enumerate(texts):
-        of = sums[cuts[i + 1]] - sums[cuts[i]]
+        of = sums[i]
         whole = of.sum()
         if whole <= 0 or not _LETTER.search(text):
             names.append(UNDEFINED)
