@@ -17,13 +17,13 @@ from tidewatch.llm.line_dedup import without_repeated_lines
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import repeated
 
-# A text whose best language has less than this share of its letters is rejected.
+# A text is rejected whose words' languages are less sure than this; a mixture of clear ones is not.
 LEAST_SCORE = 0.4
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; texts without letters or without a clear language go."""
+    """Documents of known languages, one or several; texts without letters or in doubt go."""
     return keep_known_languages(docs, fit_language_model(docs, F.lit(True)), LEAST_SCORE)
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewatch.llm import language, quality
 from tidewatch.llm.crf import Chain, forward_backward, gold_counts
 from tidewatch.llm.queries import op6_quality, op8_language
@@ -89,6 +90,27 @@ def test_every_language_is_learned(spark):
     assert [language.sample_docs(n) for n in (0, 4, 16, 100, 10_000)] == [300, 300, 300, 48, 8]
 
 
+def test_mixture_is_not_doubt(spark):
+    letters = {"l0": "abcde", "l1": "fghij", "l2": "klmno", "l3": "pqrst"}
+    rng = np.random.default_rng(2)
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+
+    names = list(letters) * 20
+    model = language.train([words(x, 30) for x in names], names)
+    mixed = "\n".join(words(x, 30) for x in letters)
+    rows = [(1, mixed), (2, words("l1", 30)), (3, "12 ?"), (4, None), (5, "uvwxyz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in language.predict_language(table, model).collect()}
+    assert score[1] < 0.4 and score[5] < 0.4
+    assert sorted(r.doc_id for r in language.keep_known_languages(table, model, 0.4).collect()) == [1, 2]
+    nothing = language.train([], [])
+    assert sorted(r.doc_id for r in language.keep_known_languages(table, nothing, 0.4).collect()) == [1, 2, 5]
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, unlabelled, "").collect()) == [1, 2, 5]
+
+
 def test_blocks_of_lines_do_not_change_the_model(monkeypatch):
     texts = ["the cat and\nthe dog of the house", "der hund und\n\ndie katze von dem haus", "le chien et\nle chat"] * 9
     whole = language.train(texts, ["en", "de", "fr"] * 9)

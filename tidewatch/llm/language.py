@@ -211,33 +211,37 @@ def fit_language_model(docs: DataFrame, learn_from: Column) -> LanguageModel:
     return train(texts, names)
 
 
-def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
-    names, scores, k = [], [], len(model.languages)
+def _judged(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language and score of each text, and how sure its words are: their greatest marginals, by length."""
+    names, scores, sure, k = [], [], [], len(model.languages)
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     if not k:
-        return [UNDEFINED] * len(texts), [0.0] * len(texts)
+        return [UNDEFINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     data = b"\n".join(coded)
     starts, ends, hashes, grams, affixes = word_features(data)
     owner = np.searchsorted(np.cumsum([len(c) + 1 for c in coded]), starts, side="right")
-    sums = np.zeros((len(texts), k))
+    sums, tops = np.zeros((len(texts), k)), np.zeros(len(texts))
     lengths = _line_lengths(data, starts)
     for lines, at in _blocks(lengths, max(1, _CELLS // k)):
         emit = _emissions(model, starts[at], ends[at], hashes[at], grams, affixes[at])
         marginal = forward_backward(emit, lengths[lines], model.chain)[0]
         own, cuts = np.unique(owner[at], return_index=True)
-        sums[own] += np.add.reduceat(marginal * (ends - starts)[at, None], cuts, axis=0)
+        size = (ends - starts)[at]
+        sums[own] += np.add.reduceat(marginal * size[:, None], cuts, axis=0)
+        tops[own] += np.add.reduceat(marginal.max(axis=1) * size, cuts)
     for i, text in enumerate(texts):
         of = sums[i]
         whole = of.sum()
         if whole <= 0 or not _LETTER.search(text):
             names.append(UNDEFINED)
             scores.append(0.0)
+            sure.append(0.0)
         else:
             best = int(np.argmax(np.round(of / whole, 9)))
             names.append(model.languages[best])
             scores.append(float(min(1.0, of[best] / whole)))
-    return names, scores
+            sure.append(float(min(1.0, tops[i] / whole)))
+    return names, scores, sure
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -249,20 +253,27 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     are judged each; other columns are not read.
     """
     def work(batch: pa.RecordBatch) -> dict:
-        names, scores = _judged(model, batch.column("text").to_pylist())
+        names, scores, _ = _judged(model, batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return arrow_map(chosen, "text", "doc_id long, lang_pred string, score double", work)
 
 
-def keep_known_languages(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
-    """The rows of ``docs`` whose language is not ``und`` and has at least ``least_score``, with all columns."""
+def keep_known_languages(docs: DataFrame, model: LanguageModel, least_sure: float) -> DataFrame:
+    """The rows of ``docs`` with a letter whose words' languages are known with ``least_sure``, with all columns.
+
+    Sure is the mean of the words' greatest marginals, weighted by length: a text of several languages
+    stays where each word's own is clear. Where no language was learned, every text with a letter stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            _, scores = _judged(model, piece.column("text").to_pylist())
-            kept = pa.array([s >= least_score and s > 0 for s in scores], pa.bool_())
-            yield piece.filter(kept)
+            texts = piece.column("text").to_pylist()
+            if model.languages:
+                kept = [s >= least_sure and s > 0 for s in _judged(model, texts)[2]]
+            else:
+                kept = [bool(_LETTER.search(t or "")) for t in texts]
+            yield piece.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
