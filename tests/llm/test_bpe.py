@@ -56,6 +56,24 @@ def test_transducer_against_the_definition():
         assert machine.word(data) == ((ranks[data],) if data in ranks else wanted)
 
 
+def test_lookahead_on_short_words(ranks, reference, monkeypatch):
+    # Words of up to SHORT bytes go another way; without it the states take all words.
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    monkeypatch.setattr(bpe.Transducer, "_short", None)
+    engine = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for text in odd_texts(1000):
+        assert engine.encode(text) == reference.encode_ordinary(text)
+    own = {bytes([b]): b for b in range(256)}
+    for i, token in enumerate([b"ab", b"bc", b"abc", b"cd", b"bcd", b"aa", b"aab", b"dd", b"ddd", b"abcd"]):
+        own[token] = 256 + i
+    machine, rng = bpe.Transducer(own), random.Random(3)
+    for _ in range(2000):
+        data = bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 14)))
+        wanted = tuple(own[p] for p in bpe.merged(data, own))
+        assert machine.word(data) == ((own[data],) if data in own else wanted)
+    assert machine.moves
+
+
 def test_stream_decoding():
     tokens = [bytes([b]) for b in range(256)]
     rng = random.Random(3)
