@@ -50,13 +50,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return staging.stage(df, name)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece holds about PIECE_CHARS bytes of ``text``, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece holds about ``most`` bytes of ``text``, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         first, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > PIECE_CHARS:
+            if held and held + size > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += size

@@ -17,6 +17,7 @@ from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import fit_quality_model, score_quality
+from tidewatch.llm.token_alignment import align_tokenizers
 from tidewatch.llm.url_filter import judge_urls
 from tidewatch.llm.warc import archive_round_trip
 
@@ -111,6 +112,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(docs, *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package, and it imports the operators
 
@@ -119,7 +126,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints,
-    op8_language, op9_warc, op10_embedding_near_dedup, pipeline,
+    op8_language, op9_warc, op10_embedding_near_dedup,
+    op13_token_alignment, pipeline,
 )
 
 
