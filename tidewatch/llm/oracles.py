@@ -154,4 +154,76 @@ SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.least AS component_id, vec
 FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+# Damage by a CRC-32 in SQL; repairs by the cheapest (cost, edits) per row and last role: e nothing, s, u, a.
+OP12 = """
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), f AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1),
+         lambda i: [ascii(substr(key, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END),
+         4294967295::BIGINT) % 20 AS fate
+  FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM f WHERE fate <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM d
+), q AS (
+  SELECT *, left(role, 1) AS c, CASE WHEN trimmed = '' THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+), w AS (
+  SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS t, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE 0 END AS x,
+         lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM q
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM w GROUP BY conv_id
+), b(conv_id, i, e, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {'c': 0::BIGINT, 's': ''}, {'c': 1000000000::BIGINT, 's': ''}, {'c': 5::BIGINT, 's': 'I'}, {'c': 10::BIGINT, 's': 'II'}
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, e, s, u, list_sort([a, {'c': u.c + 5, 's': u.s || 'I'}])[1] FROM (
+    SELECT conv_id, i, e, s, a, list_sort([u, {'c': e.c + 5, 's': e.s || 'I'}, {'c': s.c + 5, 's': s.s || 'I'}, {'c': a.c + 5, 's': a.s || 'I'}])[1] AS u
+    FROM (
+      SELECT b.conv_id, w.i, {'c': e.c + 2, 's': e.s || 'D'} AS e,
+             list_sort([{'c': b.s.c + 2, 's': b.s.s || 'D'}, {'c': e.c + t + x + CASE WHEN w.c = 's' THEN 0 ELSE 1000000000 END, 's': e.s || 'K'}])[1] AS s,
+             list_sort([{'c': u.c + 2, 's': u.s || 'D'}] || list_transform([e, b.s, a], lambda y:
+               {'c': y.c + t + x + CASE WHEN w.c = 'u' THEN 0 ELSE 1 END, 's': y.s || CASE WHEN w.c = 'u' THEN 'K' ELSE 'R' END}))[1] AS u,
+             list_sort([{'c': a.c + 2, 's': a.s || 'D'},
+               {'c': u.c + t + x + CASE WHEN w.c = 'a' THEN 0 ELSE 1 END, 's': u.s || CASE WHEN w.c = 'a' THEN 'K' ELSE 'R' END}])[1] AS a
+      FROM b JOIN w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i + 1
+    )
+  )
+), v AS (
+  SELECT b.conv_id, list_sort([e, a])[1] AS best, g.* EXCLUDE (conv_id) FROM b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+  WHERE b.i = coalesce(g.n, 0)
+), l AS (
+  SELECT conv_id, pos, substr(best.s, pos, 1) AS letter, length(replace(left(best.s, pos), 'I', '')) AS i
+  FROM (SELECT *, unnest(range(1, length(best.s) + 1)) AS pos FROM v)
+), m AS (
+  SELECT l.conv_id, pos, letter, w.role, w.text, w.c, row_number() OVER (PARTITION BY l.conv_id ORDER BY pos) AS j
+  FROM l LEFT JOIN w ON letter <> 'I' AND w.conv_id IS NOT DISTINCT FROM l.conv_id AND w.i = l.i WHERE letter <> 'D'
+), z AS (
+  SELECT *, max(CASE WHEN j = 1 AND letter = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM m
+), h AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS told FROM z GROUP BY conv_id
+)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.s AS audit,
+       sha256(coalesce(told, '')) AS repaired_sha256
+FROM v LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+ORACLES = {
+    "op1_url_filter": OP1, "op2_minhash_near_dedup": OP2, "op3_line_dedup": OP3, "op9_warc": OP9,
+    "op10_embedding_near_dedup": OP10, "op12_conversation_repair": OP12,
+}

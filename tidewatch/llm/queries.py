@@ -10,18 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, spotsigs
-from tidewatch.llm.common import arrow_map, table
+from tidewatch.llm.common import arrow_map, stage, table
+from tidewatch.llm.conversations import plan_repairs, repaired_digests
 from tidewatch.llm.embeddings import linked_vectors
 from tidewatch.llm.language import fit_language_model, predict_language
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.minhash import near_duplicates
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.quality import fit_quality_model, score_quality
+from tidewatch.llm.sharding import shard_documents
 from tidewatch.llm.token_alignment import align_tokenizers
 from tidewatch.llm.url_filter import judge_urls
 from tidewatch.llm.warc import archive_round_trip
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+SHARDS = 40
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +115,34 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
+    data = F.coalesce("row.text", F.lit("")).cast("binary")
+    size = (F.octet_length(data) + 16).cast("long").alias("size")
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    crc = F.crc32(data).alias("text_crc32")
+    return sharded.select("row.doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", grown)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows damaged, and every conversation repaired."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fate = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    damaged = rows.select(
+        "conv_id", "turn", fate.alias("fate"), F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(True), F.when(fate == 3, 2).otherwise(1))).alias("copy"),
+    )
+    present = F.col("fate") != 0
+    plans = stage(plan_repairs(damaged, present), "repairs")
+    digests = repaired_digests(damaged, plans, present).withColumnRenamed("conv_id", "id")
+    joined = plans.join(digests, F.col("conv_id").eqNullSafe(F.col("id")))
+    return joined.select(*plans.columns, F.col("digest").alias("repaired_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -127,7 +158,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED = (
     op1_url_filter, op2_minhash_near_dedup, op3_line_dedup, op4_bpe, op5_mixing, op6_quality, op7_fingerprints,
     op8_language, op9_warc, op10_embedding_near_dedup,
-    op13_token_alignment, pipeline,
+    op11_sharding, op12_conversation_repair, op13_token_alignment, pipeline,
 )
 
 
