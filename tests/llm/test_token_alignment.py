@@ -132,3 +132,14 @@ def test_blobs():
     for values in ([], [0], [255, 256], [1 << 40, 3]):
         packed = ta.pack(np.array(values, dtype=np.int64), np.array([True, False]))
         assert [x.tolist() for x in ta.unpack(packed)] == [values, [1, 0]]
+
+
+def test_ranked_encoding_is_the_files_own(babble):
+    side, rng = ta.BytePairs(A), random.Random(8)
+    assert side.ranked is not None
+    pools = ["abc XYZ 123 's 't'll", " \t\n\r\x0b\x0c\x85\u2003\u3000", "é ß Ω 中文 ́\u200d😀", "<|endoftext|>", "'S'T ’s٣½Ⅷ\x00\x1c\ufeff"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    texts += [babble(i, 200) for i in range(20)]
+    fast = side.encode(texts)
+    side.ranked = None
+    assert fast == side.encode(texts)
