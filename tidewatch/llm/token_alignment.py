@@ -189,15 +189,25 @@ def align(ids_a: np.ndarray, ids_b: np.ndarray, end_a: np.ndarray, end_b: np.nda
     Every stretch between neighbouring ends of either side lies in one token of A and one of B, and
     two tokens that overlap share exactly one stretch: the stretches are the links.
     """
-    cuts = np.union1d(end_a, end_b)
-    link_a, link_b = ids_a[np.searchsorted(end_a, cuts)], ids_b[np.searchsorted(end_b, cuts)]
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-    first = [np.searchsorted(docs, e) for e in (end_a, end_b, common, cuts)]  # the text each end is in
-    counts = [np.bincount(f, minlength=len(docs)) for f in first]
-    # The order of the listing: group, side, position.
-    place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
-    place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, side="right")
+    flags = np.zeros((3, int(docs[-1]) + 1), dtype=bool)
+    for flag, ends in zip(flags, (end_a, end_b, docs), strict=True):
+        flag[ends] = True
+    cuts = np.flatnonzero(flags[0] | flags[1])
+    of_a, of_b, of_doc = flags[:, cuts]
+    common = of_a & of_b
+
+    def before(flag: np.ndarray) -> np.ndarray:
+        """How many flagged ends lie before each cut: the number of the token, group or text it is in."""
+        return np.cumsum(flag) - flag
+
+    link_a, link_b = ids_a[before(of_a)], ids_b[before(of_b)]
+    doc, group = before(of_doc), before(common)
+    group_a, group_b = group[of_a], group[of_b]
+    counts = [np.bincount(doc[flag], minlength=len(docs)) for flag in (of_a, of_b, common)]
+    counts.append(np.bincount(doc, minlength=len(docs)))
+    # The order of the listing: group, side, position. Tokens of B wait for those of A of their group.
+    place_a = np.arange(len(ids_a)) + np.cumsum(np.bincount(group_b))[group_a] - np.bincount(group_b)[group_a]
+    place_b = np.arange(len(ids_b)) + np.cumsum(np.bincount(group_a))[group_b]
     n = len(ids_a) + len(ids_b)
     listed, side, last = np.empty(n, np.int64), np.zeros(n, np.int8), np.empty(n, bool)
     listed[place_a], listed[place_b], side[place_b] = ids_a, ids_b, 1
@@ -208,7 +218,7 @@ def align(ids_a: np.ndarray, ids_b: np.ndarray, end_a: np.ndarray, end_b: np.nda
     stops = ends[tokens - 1]
     listing = [text[a : b - 1].tobytes() for a, b in zip(np.concatenate(([0], stops[:-1])), stops, strict=True)]
     return {"n_a": counts[0], "n_b": counts[1], "n_groups": counts[2], "n_links": counts[3],
-            "groups": listing, "link_a": link_a, "link_b": link_b, "link_doc": first[3]}
+            "groups": listing, "link_a": link_a, "link_b": link_b, "link_doc": doc}
 
 
 class _Run:
