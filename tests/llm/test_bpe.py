@@ -36,7 +36,7 @@ def test_ids_of_the_library(ranks, reference):
 
 def test_long_words_and_small_caches(ranks, reference, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_TRANSITIONS", 50)
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 700)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 20)
     engine = bpe.Encoder(ranks, public_tokenizers.PATTERN)
     rng = random.Random(1)
@@ -95,5 +95,34 @@ def test_tables(spark, reference):
     got = bpe.decode_documents(encoded.withColumn("copy", encoded["ids"]), PATH).collect()
     wanted = sorted((str(d), reference.encode_ordinary(t or ""), t or "") for d, t in rows)
     assert sorted((str(r.doc_id), r.copy, r.text) for r in got) == wanted
+    once = bpe.encode_documents(table, PATH, public_tokenizers.PATTERN, decode=True).collect()
+    assert sorted((str(r.doc_id), r.ids, r.text) for r in once) == wanted
     empty = bpe.encode_documents(spark.createDataFrame([], schema), PATH, public_tokenizers.PATTERN)
     assert bpe.decode_documents(empty, PATH).count() == 0
+
+
+def test_what_a_worker_keeps_is_bounded(ranks, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 60_000)
+    engine, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(4)
+    most = 0
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 12))) for _ in range(40))
+        assert engine.encode(text) == reference.encode_ordinary(text)
+        most = max(most, len(engine.matches) + len(engine.after_blank) + len(engine.first))
+        assert engine.kept <= bpe.KEPT_BYTES + 1000
+    assert 100 < most < 400
+
+
+def test_query_digests(spark, reference):
+    import hashlib
+
+    from tidewatch.llm.queries import op4_bpe
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op4_bpe(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = reference.encode_ordinary(texts[r.doc_id])
+        joined = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), joined, hashlib.sha256(texts[r.doc_id].encode()).hexdigest())

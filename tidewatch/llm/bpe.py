@@ -29,8 +29,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tidewatch.llm.common import pieces
 
-# Bounds on what a worker keeps; beyond them it starts anew, with the same results.
-KEPT_TRANSITIONS, KEPT_WORDS, KEPT_PAIRS = 150_000, 400_000, 300_000
+# Bounds on what a worker keeps; beyond them it starts anew, with the same results. Words count by
+# the bytes they take, some 300 each; a transition takes about 400 with its state, a pair 130.
+KEPT_BYTES, KEPT_TRANSITIONS, KEPT_PAIRS = 120_000_000, 60_000, 300_000
 SHORT = 64  # bytes of a word whose end is awaited
 _NEVER = 1 << 40
 _LEAF: dict[int, int] = {}
@@ -286,16 +287,26 @@ class Encoder:
         self.matches: dict[str, tuple[int, ...]] = {}
         self.after_blank: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[int, ...]] = {}
+        self.kept = 0
         self.feed = self._split("\n")
 
+    def _keep(self, known: dict, text: str, ids: tuple[int, ...]) -> None:
+        """Remember a word of usual length; all are forgotten when they take too much room."""
+        if len(text) > 48:
+            return
+        if self.kept > KEPT_BYTES:
+            for words in (self.matches, self.after_blank, self.first):
+                words.clear()
+            self.kept = 0
+        known[text] = ids
+        # A dictionary's slots, a text of up to two bytes a character, and a tuple of shared numbers.
+        self.kept += 100 + 74 + 2 * len(text) + 56 + 8 * len(ids)
+
     def _match(self, text: str) -> tuple[int, ...]:
         ids = self.matches.get(text)
-        if ids is None and len(self.matches) > KEPT_WORDS:
-            self.matches = {}
         if ids is None:
             ids = self.machine.word(text.encode("utf-8", "surrogatepass"))
-            if len(text) <= 48:
-                self.matches[text] = ids
+            self._keep(self.matches, text, ids)
         return ids
 
     def _split(self, text: str) -> tuple[int, ...]:
@@ -305,10 +316,7 @@ class Encoder:
         ids = known.get(chunk)
         if ids is None:
             ids = self._split(lead + chunk)
-            if len(chunk) <= 48:
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                known[chunk] = ids
+            self._keep(known, chunk, ids)
         return ids
 
     def _line(self, line: str) -> Iterable[tuple[int, ...]]:
@@ -408,22 +416,35 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _decoded(tokens: list[bytes], ids: np.ndarray) -> str:
+    machine = StreamDecoder(tokens)
+    said = [machine.push(ids[i : i + STEP].tolist()) for i in range(0, len(ids), STEP)]
+    return "".join([*said, machine.close()])
+
+
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = False
+) -> DataFrame:
     """The ``keep`` columns and ``ids`` of every row of ``docs`` (text and those columns).
 
     Null and empty texts have no ids. Every match of ``pattern`` is encoded by itself; there are
     no special tokens. ``path`` is a rank file that every executor can open. Repeated rows are
-    encoded each; other columns are not read.
+    encoded each; other columns are not read. With ``decode`` the ids are decoded again, as a stream, in
+    the worker that made them, and ``text`` is what they give.
     """
     chosen = docs.select(*keep, "text")
     schema = StructType([chosen.schema[name] for name in keep]).add("ids", ArrayType(IntegerType()))
+    schema = schema.add("text", "string") if decode else schema
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = encoder(path, pattern)
+        engine, tokens = encoder(path, pattern), token_table(path) if decode else []
         for piece in pieces(batches, "text"):
             ids = [np.array(engine.encode(t), dtype=np.int32) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({name: piece.column(name) for name in keep} | {"ids": ids}, schema=target)
+            columns = {name: piece.column(name) for name in keep} | {"ids": ids}
+            if decode:
+                columns["text"] = [_decoded(tokens, x) for x in ids]
+            yield pa.RecordBatch.from_pydict(columns, schema=target)
 
     return chosen.mapInArrow(run, schema)
 
@@ -445,9 +466,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                     if not ids.is_valid:
                         texts.append(None)
                         continue
-                    machine, whole = StreamDecoder(tokens), ids.values.to_numpy(zero_copy_only=False)
-                    said = [machine.push(whole[i : i + STEP].tolist()) for i in range(0, len(whole), STEP)]
-                    texts.append("".join([*said, machine.close()]))
+                    texts.append(_decoded(tokens, ids.values.to_numpy(zero_copy_only=False)))
                 columns = {f.name: batch.column(f.name).slice(first, 64) for f in kept}
                 yield pa.RecordBatch.from_pydict(columns | {"text": texts}, schema=target)
 

@@ -44,14 +44,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_RANKS)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    ids = F.coalesce("ids", F.array().cast("array<int>"))
-    digest = F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
-    decoded = bpe.decode_documents(
-        encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), path
-    )
+    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decode=True)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256")
     text = F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", text)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, text)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
