@@ -58,3 +58,22 @@ def test_archive_format():
 
 def test_query_covers_all_pages(spark):
     assert op9_warc(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_archives_are_read_by_tasks_of_their_own(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " * (1 + i % 300)) for i in range(400)] + [(400 + i, "u", "same " * 400) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(pages, folder)
+    archives = manifest.where("records > 0").count()
+    read = warc.read_archives(manifest, folder)
+    assert archives >= 6 and read.rdd.getNumPartitions() == archives
+    assert sorted(r.page_id for r in read.collect()) == list(range(600))
+    tasks = read.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert min(tasks) > 0 and sum(tasks) == 600
+
+
+def test_small_payloads_are_not_joined(spark):
+    pages = spark.createDataFrame([(1, "u", ""), (2, "u", "x" * 2000)], "page_id long, url string, html string")
+    plan = warc.plan_records(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Join") == 1

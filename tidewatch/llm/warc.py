@@ -26,7 +26,6 @@ from tidewatch.llm.common import stage, stage_path
 REVISIT_BYTES = 1000
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_BYTES = 4_000_000  # of an archive's first records, for its dictionary
-ARCHIVE_PAGES = 4_000
 # Fixed by the format: skippable frame that holds a dictionary, and the frame magic.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,9 +150,13 @@ def plan_records(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFram
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     same = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size")
     tops = same.agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = rows.join(tops.select("digest", "size", "top"), ["digest", "size"], "left")
+    large = rows.where(F.col("size") >= least_bytes)
+    joined = large.join(tops.select("digest", "size", "top"), ["digest", "size"], "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return joined.select("page_id", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
+    found = joined.select("page_id", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
+    # Smaller ones match nothing and stay where they are: they would meet on few keys, the empty ones on one.
+    small = rows.where(F.col("size") < least_bytes)
+    return found.union(small.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -176,7 +179,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = REVISIT_BYT
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """One row per record of the archives that the manifest names; ``payloads`` adds the payload."""
+    """One row per record of the archives that the manifest names; ``payloads`` adds the payload.
+
+    Every archive is read by a task of its own, so reading back is as wide as writing was.
+    """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", *["payload"] * payloads]
     kinds = {"page_id": "long", "payload_bytes": "long", "refers_to": "long", "payload": "binary"}
 
@@ -201,7 +207,10 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
         out = pd.DataFrame(held, columns=names)
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spread = manifest.where("records > 0").repartition(F.col("name"))
+    written = manifest.where("records > 0")
+    # The names, a row per archive, are dealt in turn from one partition to a stated number of tasks,
+    # which AQE leaves alone.
+    spread = written.coalesce(1).repartition(max(1, written.count()))
     return spread.mapInPandas(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
