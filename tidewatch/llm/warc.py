@@ -18,7 +18,7 @@ from urllib.parse import quote
 import pandas as pd
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import stage, stage_path
@@ -208,9 +208,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     written = manifest.where("records > 0")
-    # The names, a row per archive, are dealt in turn from one partition to a stated number of tasks,
-    # which AQE leaves alone.
-    spread = written.coalesce(1).repartition(max(1, written.count()))
+    # The names, a row per archive, are numbered and dealt to as many tasks, which AQE leaves alone.
+    place = F.row_number().over(Window.orderBy("name")) - 1
+    spread = written.withColumn("place", place).repartitionById(max(1, written.count()), F.col("place").cast("int"))
     return spread.mapInPandas(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
