@@ -23,7 +23,7 @@ from tidewatch.llm.hashing import mix
 
 SEED = 20_260
 # Rows of a shard that travel to one task and lie there in the order of their slots.
-CHUNK = 4096
+CHUNK = 512
 _ROUNDS = 8
 _ALL = (1 << 64) - 1
 
