@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, d long, k long, line string, s string, n_cha
 
 
 def words(line):
-    return frozenset(re.findall("[^\\x20\\x09-\\x0D]+", line.lower()))
+    return frozenset(re.findall("[^\\x20\\x09-\\x0D]+", line.translate({c: c + 32 for c in range(65, 91)})))
 
 
 def removed(rows):
@@ -27,6 +27,8 @@ def test_against_all_pairs(spark, babble, edit):
     rows += [(50 + i, edit(base, i, i % 9) + "\n" + base.upper()) for i in range(40)]
     rows += [(100 + i, babble(300 + i, 1 + i % 12)) for i in range(60)]
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, " \t"), (204, "same same same"), (205, "same"), (206, "é"), (207, "É")]
+    rows += [(208, "Été À Ⅷ Ǆ ΟΔΟΣ İI"), (209, "été à ⅷ ǆ οδος i̇i"), (210, "ÉtÉ à ONE TWO"), (211, "ÉtÉ à one two"), (212, "ÉTé À one two")]
+    rows += [(213, " ".join(f"Word{i}" for i in range(30_000))), (214, " ".join(f"word{i}" for i in range(29_000)))]
     table = spark.createDataFrame([(d, t, 1, 2, "x", "y", 5) for d, t in rows], SCHEMA)
     wanted = removed(rows)
     got = {r.doc_id: r for r in line_dedup.dedup_lines(table).collect()}

@@ -13,6 +13,8 @@ every line remains there to be found, so the result is that of the whole join.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,19 @@ _BLANKS = "[\\x20\\x09-\\x0D]+"
 _LOW = 0xFFFFFFFF
 
 
+def _fold(text: Column) -> Column:
+    """A-Z in lower case, all else as it is.
+
+    ``lower`` is the faster, and does just that where no other letter has a lower case: only letters and
+    signs of these four kinds have one.
+    """
+    others = text.rlike("[\\p{Lu}\\p{Lt}\\p{Nl}\\p{So}&&[^A-Z]]")
+    return F.when(others, F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))
+
+
 def _split(text: Column) -> Column:
-    """Words in lower case: runs of other than space and ASCII blanks; a blank text gives one empty word."""
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), _BLANKS)
+    """Words with A-Z folded: runs of other than space and ASCII blanks; a blank text gives one empty word."""
+    return F.split(F.btrim(_fold(text), F.lit(" \t\n\x0b\x0c\r")), _BLANKS)
 
 
 def _hash(word: Column) -> Column:
@@ -55,7 +67,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> Column:
     """Log-scale counts of all counters as one array, computed once per query: COUNTERS bytes."""
-    words = docs.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
     seen = words.groupBy((_hash(F.col("w")) % COUNTERS).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     all_counters = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n"))
     counts = seen.union(all_counters).groupBy("c").agg(F.sum("n").alias("n"))
@@ -156,8 +169,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(d, k, line) of every line to be removed: an earlier line of the corpus is similar.
 
     Lines are cut at line feeds; earlier means a smaller doc_id (null last), then the hash of the
-    text, then the line number from 0. Sets of words (runs of other than space and ASCII blanks, in
-    lower case) are similar if 100 * shared >= percent * union; lines without words stay. Rows with
+    text, then the line number from 0. Sets of words (runs of other than space and ASCII blanks, A-Z
+    in lower case) are similar if 100 * shared >= percent * union; lines without words stay. Rows with
     equal doc_id and text are one document and lose the same lines. Words are compared by 32-bit
     hashes (two words of a pair of 50-word lines agree by chance with probability 6e-7), lines are
     held equal by 128 bits.
