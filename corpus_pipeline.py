@@ -51,10 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, text): the ids of each text, and the text decoded from them."""
     path = public_tokenizers.path(RANKS)
-    chosen = docs.select("doc_id", "lang", "source", "text")
-    encoded = bpe.encode_documents(chosen, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    decoded = bpe.decode_documents(encoded.withColumn("tokens", F.col("ids")), path)
-    return decoded.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), F.col("tokens").alias("ids"), "text")
+    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), decode=True)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
