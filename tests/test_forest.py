@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.clustering import ClusterDistance
+from tidewatch.operators.clustering import ClusterDistance, reduced
 from tidewatch.operators.forest import IsolationForest, average_path, fit_forest
 from tidewatch.operators.sampling import tree_samples
 from tidewatch.operators.scaling import FeatureScaler
@@ -168,6 +170,42 @@ def test_cluster_distance(features):
     assert ClusterDistance(k=3).fit(features.limit(0)).centres == ()
 
 
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """3,000 rows in one place and seven groups of six far from it and from each other."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3042, len(FEATURES)))
+    for g in range(7):
+        x[3000 + 6 * g : 3006 + 6 * g] += 40 * rng.normal(size=len(FEATURES))
+    rows = [(f"u{i}", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "user STRING, " + ", ".join(f"{c} DOUBLE" for c in FEATURES))
+    return stage(df.withColumn("date", F.lit("2024-01-01").cast("timestamp_ntz")), "lopsided").orderBy("user")
+
+
+def _cost(x, centres):
+    return ((x[:, None, :] - np.array(centres)) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_seeds_find_small_far_groups(lopsided):
+    model = ClusterDistance().fit(lopsided)
+    rows = lopsided.toPandas()
+    scaled = (rows[list(FEATURES)].to_numpy() - np.array(model.scaler.means)) / np.array(model.scaler.stds)
+    marks = [hashlib.md5(f"{u}|2024-01-01 00:00:00".encode()).hexdigest() for u in rows["user"]]
+    centres = scaled[np.argsort(marks)[:8]]  # eight rows at random, and then the same rounds
+    for _ in range(10):
+        near = ((scaled[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([scaled[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
+    assert _cost(scaled, model.centres) < 0.5 * _cost(scaled, centres)
+    assert ClusterDistance().fit(lopsided.repartition(7)).centres == model.centres
+
+
+def test_reduction_of_weighted_seeds():
+    at = [(0.0, 0.0), (0.1, 0.0), (9.0, 0.0), (0.0, 5.0), (9.0, 0.1)]
+    assert reduced(at, [10, 3, 1, 2, 1], 3) == [0, 4, 3]
+    assert reduced(at, [1, 1, 1, 1, 1], 9) == [0, 4, 3, 1, 2] and reduced(at[:1], [4], 3) == [0]
+    assert reduced([(1.0,), (1.0,), (1.0,)], [2, 5, 5], 2) == [1, 0]
+
+
 def test_grid(spark, features):
     grid = tuning.run_grid(features, (0.02, 0.1), (0.5, 1.0), trees=30)
     columns = grid.forest.score_columns()

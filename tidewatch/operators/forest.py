@@ -1,12 +1,15 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) as Spark jobs.
 
-Fitting draws a bounded sample per tree and grows the trees in parallel, one group
-per tree. A forest is a few thousand numbers whatever the size of the data, so it is
-broadcast, and scoring is one vectorised pass over the feature table.
+Fitting draws a bounded sample per tree and grows all trees together, level by level, as
+grouped minima and maxima. Every choice (rows of a tree, its columns, splits and cuts) follows from
+the MD5 of what it is for, so a forest depends on data and seed alone and SQL can repeat it. A forest is a
+few thousand numbers whatever the size of the data, so it is broadcast, and scoring is one
+vectorised pass over the feature table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from math import ceil, log, log2
 
@@ -23,81 +26,92 @@ EULER_GAMMA = 0.5772156649015329
 ROWS_PER_BLOCK = 5_000
 
 
+# Path lengths are multiples of this, so that their sums are exact in any order.
+PATH_UNIT = 2.0**-20
+
+
 def average_path(n: int) -> float:
-    """Mean depth of an unsuccessful search in a binary tree of ``n`` points."""
+    """Mean depth of an unsuccessful search in a binary tree of ``n`` points, to the nearest PATH_UNIT."""
     if n <= 1:
         return 0.0
     if n == 2:
         return 1.0
-    return 2.0 * (log(n - 1) + EULER_GAMMA) - 2.0 * (n - 1) / n
+    return round((2.0 * (log(n - 1) + EULER_GAMMA) - 2.0 * (n - 1) / n) / PATH_UNIT) * PATH_UNIT
 
 
-def _tree_grower(names: tuple[str, ...], depth: int, size: int, seed: int):
-    """A function growing one tree from its sample.
+def chosen_columns(share: float, tree: int, seed: int, width: int) -> list[bool]:
+    """Which of ``width`` columns a tree may split: a share of them, those of least MD5."""
+    marks = [hashlib.md5(f"{seed}|{share_key(share)}|{tree}|c{i}".encode()).hexdigest() for i in range(width)]
+    kept = sorted(range(width), key=marks.__getitem__)[: max(1, int(share * width))]
+    return [i in kept for i in range(width)]
 
-    The tree is a complete binary layout: node i has children 2i+1 and 2i+2, a node
-    that does not split sends every row left, and ``path`` holds the path length of
-    each slot on the last level.
-    """
-    mean_path = [average_path(n) for n in range(size + 1)]
-
-    def grow(sample: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
 
-        share, tree = float(sample["max_features"].iloc[0]), int(sample["tree_id"].iloc[0])
-        sample = sample.sort_values(["pick"], kind="stable")
-        x = sample[list(names)].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree, round(share * 1000)])
-        width = max(1, int(share * len(names)))
-        chosen = np.sort(rng.choice(len(names), width, replace=False))
-        x = x[:, chosen]
-
-        inner, slots = 2**depth - 1, 2**depth
-        feature = np.zeros(inner, dtype=np.int32)
-        cut = np.full(inner, np.inf)
-        node = np.zeros(len(x), dtype=np.int64)
-        stopped = np.full(len(x), depth)  # level at which a row's node stopped splitting
-        for level in range(depth):
-            order = np.argsort(node, kind="stable")
-            ids, starts = np.unique(node[order], return_index=True)
-            low = np.minimum.reduceat(x[order], starts)
-            high = np.maximum.reduceat(x[order], starts)
-            # One uniform draw among the columns that still vary in the node.
-            draw = np.where(high > low, rng.random(low.shape), -1.0)
-            column = draw.argmax(axis=1)
-            at = np.arange(len(ids))
-            splits = draw[at, column] >= 0.0
-            low, high = low[at, column], high[at, column]
-            point = low + rng.random(len(ids)) * (high - low)
-            point = np.where(point < high, point, low)
-            feature[ids[splits]] = chosen[column[splits]]
-            cut[ids[splits]] = point[splits]
-
-            place = np.searchsorted(ids, node)
-            going = splits[place]
-            stopped = np.where(~going & (stopped == depth), level, stopped)
-            right = going & (x[np.arange(len(x)), column[place]] > point[place])
-            node = 2 * node + 1 + right
-
-        slot = node - inner
-        sizes = np.bincount(slot, minlength=slots)
-        path = np.full(slots, float(depth))
-        path[slot] = stopped + np.array(mean_path)[sizes[slot]]
-        return pd.DataFrame(
-            {
-                "max_features": [share],
-                "tree_id": [tree],
-                "feature": [feature.tolist()],
-                "cut": [cut.tolist()],
-                "path": [path.tolist()],
-            }
-        )
+def share_key(share: float) -> int:
+    """A ``max_features`` share as it enters a hash."""
+    return round(share * 1000)
 
-    return grow
 
+def _split_level(width: int, level: int, seed: int) -> str:
+    """SQL that splits every node of a level of ``rows`` at a random cut of a random column that varies in it.
 
-FOREST_SCHEMA = "max_features DOUBLE, tree_id INT, feature ARRAY<INT>, cut ARRAY<DOUBLE>, path ARRAY<DOUBLE>"
+    A node is a window over its rows, and a tree lies in one partition, so no level shuffles.
+    """
+    node = "OVER (PARTITION BY share, tree_id, node)"
+    low, high = (", ".join(f"{f}(x[{i}]) {node}" for i in range(width)) for f in ("min", "max"))
+    unit = "cast(conv(substring(digest, {}, 8), 16, 10) AS double) / 4294967296D".format
+    kept = "share, tree_id, x, node, splits, stopped"
+    return f"""
+      SELECT share, tree_id, x, 2 * node + 1 + if(coalesce(get(x, col) > cut, false), 1, 0) AS node,
+        if(col IS NULL, splits, concat(splits, array(struct(node AS node, col AS feature, cut AS cut)))) AS splits,
+        coalesce(stopped, if(col IS NULL, {level}, NULL)) AS stopped
+      FROM (SELECT {kept}, col, if(least + share_of * (most - least) < most, least + share_of * (most - least), least) AS cut
+      FROM (SELECT {kept}, col, share_of, get(low, col) AS least, get(high, col) AS most
+      FROM (SELECT {kept}, low, high, {unit(9)} AS share_of, get(varying, cast(floor({unit(1)} * size(varying)) AS int)) AS col
+      FROM (SELECT *, filter(sequence(0, {width - 1}), i -> high[i] > low[i]) AS varying,
+        md5(cast(concat_ws('|', {seed}, share, tree_id, node) AS binary)) AS digest
+      FROM (SELECT {kept}, array({low}) AS low, array({high}) AS high FROM {{rows}})))))"""
+
+
+def grown_nodes(samples: DataFrame, shares: tuple[float, ...], trees: int, names: tuple[str, ...], depth: int, seed: int) -> DataFrame:
+    """(share, tree_id, node, feature, cut, stopped, n) of all splits and, on the last level, all leaves.
+
+    A tree is a complete binary layout: node i has children 2i+1 and 2i+2, and a node that does not
+    split sends every row left. ``stopped`` is the level at which a leaf's rows ceased to be split.
+    """
+    spark = samples.sparkSession
+    settings = [(share_key(s), t, chosen_columns(s, t, seed, len(names))) for s in shares for t in range(trees)]
+    chosen = spark.createDataFrame(settings, "share int, tree_id int, chosen array<boolean>")
+    # A column that a tree does not use is constant there and never splits.
+    held = F.array(*(F.when(F.get("chosen", F.lit(i)), F.col(c)).otherwise(0.0) for i, c in enumerate(names)))
+    none = F.array().cast("array<struct<node:int,feature:int,cut:double>>")
+    # A stated number of partitions: the samples are small in bytes, but splitting them is work, and
+    # AQE would otherwise merge them all into one task.
+    tasks = max(1, min(len(settings), spark.sparkContext.defaultParallelism))
+    rows = samples.select(F.col("tree_id").cast("int").alias("tree_id"), *names).join(chosen, "tree_id")
+    rows = rows.select("share", "tree_id", held.alias("x")).repartition(tasks, "share", "tree_id")
+    rows = rows.select("*", F.lit(0).alias("node"), none.alias("splits"), F.lit(None).cast("int").alias("stopped"))
+    for level in range(depth):
+        rows = spark.sql(_split_level(len(names), level, seed), rows=rows)
+    leaf = F.struct("node", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("cut"))
+    seen = rows.select("share", "tree_id", F.coalesce("stopped", F.lit(depth)).alias("stopped"), F.explode(F.concat("splits", F.array(leaf))).alias("at"))
+    return seen.groupBy("share", "tree_id", F.col("at.node").alias("node")).agg(
+        F.any_value("at.feature").alias("feature"), F.any_value("at.cut").alias("cut"),
+        F.any_value("stopped").alias("stopped"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+def _arrays(nodes: pd.DataFrame, trees: int, depth: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest's splits and leaf path lengths as one array each, a row per tree."""
+    inner, slots = 2**depth - 1, 2**depth
+    feature, cut = np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), np.inf)
+    path = np.full((trees, slots), float(depth))
+    leaf = nodes["node"].to_numpy() >= inner
+    split, ends = nodes[~leaf], nodes[leaf]
+    feature[split["tree_id"], split["node"]] = split["feature"].astype(np.int64)
+    cut[split["tree_id"], split["node"]] = split["cut"]
+    mean_path = np.array([average_path(n) for n in range(size + 1)])
+    path[ends["tree_id"], ends["node"] - inner] = ends["stopped"] + mean_path[ends["n"].to_numpy()]
+    return feature, cut, path
 
 
 @dataclass(frozen=True)
@@ -201,25 +215,9 @@ def fit_forest(
     depth = max(1, ceil(log2(max(size, 2))))
     vectors = features.select("user", "date", *steady_vector(names))
     samples = tree_samples(vectors, rows, trees, size, seed, bootstrap)
-    shares_column = F.explode(F.array(*(F.lit(float(s)) for s in shares)))
-    # A stated number of partitions: the sample is small in bytes, but growing it is
-    # work, and AQE would otherwise merge it all into one task.
-    tasks = min(trees, features.sparkSession.sparkContext.defaultParallelism)
-    grown = (
-        samples.select("tree_id", "pick", shares_column.alias("max_features"), *names)
-        .repartition(tasks, "max_features", "tree_id")
-        .groupBy("max_features", "tree_id")
-        .applyInPandas(_tree_grower(names, depth, size, seed), FOREST_SCHEMA)
-    )
-    # Bounded by trees * 2^depth numbers per setting, independent of the data.
-    table = grown.toPandas().sort_values(["max_features", "tree_id"])
-    stacked = {
-        float(share): tuple(
-            np.array(part[c].tolist(), dtype=kind)
-            for c, kind in (("feature", np.int64), ("cut", float), ("path", float))
-        )
-        for share, part in table.groupby("max_features")
-    }
+    # Bounded by trees * 2^(depth + 1) rows per setting, independent of the data.
+    table = grown_nodes(samples, shares, trees, names, depth, seed).toPandas()
+    stacked = {float(share): _arrays(table[table["share"] == share_key(share)], trees, depth, size) for share in shares}
     return Forest(names, rows, size, stacked)
 
 

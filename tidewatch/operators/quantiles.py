@@ -37,6 +37,7 @@ def exact_quantiles(
     columns: list[str],
     probs: list[float],
     listed: int = LISTED_VALUES,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles of several columns, NULLs ignored.
 
@@ -45,10 +46,11 @@ def exact_quantiles(
     holds ``listed`` values or fewer. Each round is two
     aggregations with partial aggregation and shrinks the bracket several thousand
     times; ``df`` should therefore be a staged table. Only counts and bracket ends
-    come to the driver, and the result is exact whatever the sketch's error.
+    come to the driver, and the result is exact whatever the sketch's error. ``sizes``, how many values
+    each column has, saves the first pass where they are known.
     """
     df = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    sizes = df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
+    sizes = sizes or df.agg(*(F.count(c).alias(c) for c in columns)).first().asDict()
     ranks = {
         (c, rank)
         for c in columns
@@ -56,11 +58,12 @@ def exact_quantiles(
         for p in probs
         for rank in (floor(p * (sizes[c] - 1)), ceil(p * (sizes[c] - 1)))
     }
-    found = _values_at(df, sizes, ranks, listed)
-    return {c: [_interpolated(found, c, sizes[c], p) for p in probs] for c in columns}
+    found = values_at(df, sizes, ranks, listed)
+    return {c: [interpolated(found, c, sizes[c], p) for p in probs] for c in columns}
 
 
-def _interpolated(found: dict, column: str, size: int, prob: float) -> float | None:
+def interpolated(found: dict, column: str, size: int, prob: float) -> float | None:
+    """The quantile of a column from the values at the two ranks around it."""
     if not size:
         return None
     position = prob * (size - 1)
@@ -71,7 +74,8 @@ def _interpolated(found: dict, column: str, size: int, prob: float) -> float | N
     return (upper - position) * at_lower + (position - lower) * at_upper
 
 
-def _values_at(df: DataFrame, sizes: dict, ranks: set, listed: int) -> dict:
+def values_at(df: DataFrame, sizes: dict, ranks: set, listed: int = LISTED_VALUES) -> dict:
+    """The value at each (column, rank) of columns with ``sizes`` values."""
     found: dict[tuple[str, int], float] = {}
     search = {(c, rank): _Span(c, 0, sizes[c]) for c, rank in sorted(ranks)}
     while search:

@@ -34,17 +34,22 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidewatch/{app}/{name}-{uuid4().hex}"
 
 
-def stage_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+def stage_counted(
+    df: DataFrame, name: str = "stage", file_rows: int | None = None, counted: str | None = None
+) -> tuple[DataFrame, int]:
     """Write ``df`` as Parquet to the shared folder; the table read back and its row count.
 
-    The count is observed while writing and costs no job of its own.
+    The count is observed while writing and costs no job of its own; with ``counted`` it is that of the
+    column's values. ``file_rows`` bounds the rows of a file: where a row takes much work and few bytes, a
+    small file is then still a task of its own.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    writer = df.observe(seen, F.count(F.col(counted) if counted else F.lit(1)).alias("rows")).write
+    (writer.option("maxRecordsPerFile", file_rows) if file_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    return stage_counted(df, name)[0]
+def stage(df: DataFrame, name: str = "stage", file_rows: int | None = None) -> DataFrame:
+    return stage_counted(df, name, file_rows)[0]
