@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions.timestamps import parse
 from ..session import require_utc
 from ..schema import SOURCES
 from .activity_log import tagged_log
+from .date_formats import read_by, vote
 
 # Column order of the headerless web log.
 HTTP_COLUMNS = ("id", "date", "time", "user", "pc", "url", "content", "bytes_sent", "bytes_received")
@@ -50,20 +52,31 @@ def read_headered(spark: SparkSession, path: str | list[str], multi_line: bool =
     reader = spark.read.option("header", True).option("enforceSchema", False)
     reader = reader.option("escape", '"').option("multiLine", multi_line)
     frames = [reader.csv(p) for p in _paths(path)]
+    frames = [f.withColumn("_file", F.col("_metadata.file_path")) for f in frames]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 
 
 def read_http(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     reader = spark.read.schema(HTTP_SCHEMA).option("header", False)
-    return reader.option("escape", '"').option("multiLine", multi_line).csv(_paths(path))
+    rows = reader.option("escape", '"').option("multiLine", multi_line).csv(_paths(path))
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
-def _keyed(raw: DataFrame, fmt: str, numbers: tuple[str, ...] = ()) -> DataFrame:
-    """Parsed columns and ``problem``: the column whose text could not be read, NULL for a good row."""
-    keyed = raw.withColumns({"user": _present("user"), "raw_date": _present("date")}).withColumn(
-        "date", parse(F.col("raw_date"), fmt)
-    )
+def _keyed(raw: DataFrame, fmt: str | Sequence[str], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed columns and ``problem``: what could not be read, a column or the file's dates as a whole,
+    NULL for a good row."""
+    texts = raw.withColumns({"user": _present("user"), "raw_date": _present("date")})
     unread = F.when(F.col("raw_date").isNotNull() & F.col("date").isNull(), "date")
+    if isinstance(fmt, str):
+        keyed = texts.withColumn("date", parse(F.col("raw_date"), fmt))
+    else:
+        votes = vote(texts.select(F.col("_file").alias("file"), "raw_date"), fmt)
+        votes = votes.select(F.col("file").alias("_file"), "format", F.col("problem").alias("_undecided"))
+        keyed = texts.join(votes, "_file").withColumn("date", read_by(fmt))
+        named = F.concat(F.lit("dates of "), F.col("_file"), F.lit(": "), F.col("_undecided"))
+        unread = F.when(F.col("raw_date").isNotNull() & F.col("_undecided").isNotNull(), named).when(
+            F.col("raw_date").isNotNull() & F.col("date").isNull(), "date"
+        )
     for name in numbers:
         unread = unread.when(_present(name).isNotNull() & _number(name).isNull(), name)
     return keyed.withColumn("problem", unread)
@@ -75,12 +88,15 @@ def read_logs(
     device: str | list[str],
     http: str | list[str],
     *,
-    timestamp_format: str = DEFAULT_FORMAT,
+    timestamp_format: str | Sequence[str] = DEFAULT_FORMAT,
     multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(logon, http, device) with parsed dates. ``raw_*`` keep the text and ``problem`` names an unread
     column for :func:`rejected`.
 
+    With several timestamp formats, every file is read in the one that its own dates vote for. A file that
+    cannot be decided is a ``problem`` of its rows, by name.
+
     ``multi_line`` reads quoted line breaks but makes each file one task; leave it
     off for large unsplit files.
     """
@@ -111,7 +127,7 @@ def read_tagged(
 
     A row with a date or number that cannot be read ends the job that meets it, unless a ``rejects``
     folder is given: then such rows are written there, as JSON with their log, text and problem,
-    and left out.
+    and left out. What an earlier run left in the folder is replaced.
     """
     frames = read_logs(spark, logon, device, http, **options)
     if rejects is None:
@@ -119,7 +135,7 @@ def read_tagged(
         checked = F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(F.col("date"))
         frames = tuple(f.withColumn("date", checked) for f in frames)
     else:
-        rejected_rows(frames).write.mode("append").json(rejects)
+        rejected_rows(frames).write.mode("overwrite").json(rejects)
         frames = tuple(f.where("problem is null") for f in frames)
     return tagged_log(*frames)
 
