@@ -70,10 +70,15 @@ def open_windows(closed: DataFrame, events: DataFrame, window: str = "1 day") ->
     """The windows of the batch table ``events`` behind the last of ``closed``.
 
     The watermark has not closed these yet. Closed and open together are the batch answer, but
-    for rows that came too late for their window.
+    for rows that came too late for their window. The end of the last closed window goes to the scan
+    as a literal, so only row groups behind it are read.
     """
-    last = closed.agg(F.max("date")).scalar()
-    return windowed_activity(events, window).where(last.isNull() | (F.col("date") > last))
+    last = closed.agg(F.max("date")).first()[0]
+    if last is None:
+        return windowed_activity(events, window)
+    start = F.lit(last).cast("timestamp_ntz")
+    behind = events.where(F.col("ts") >= start + F.expr(f"INTERVAL {window}"))
+    return windowed_activity(behind, window).where(F.col("date") > start)
 
 
 def drain(stream: DataFrame, name: str = "stream", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
