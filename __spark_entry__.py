@@ -24,15 +24,21 @@ from tidewatch.operators.clustering import ClusterDistance
 from tidewatch.operators.filters import Filters
 from tidewatch.operators.forest import IsolationForest
 from tidewatch.operators.scaling import FeatureScaler
+from tidewatch.operators.quantile_store import QuantileStore
 from tidewatch.plans import reports, scoring, tuning
-from tidewatch.schema import EXPORT, FEATURES, KEYS, MEASURES
+from tidewatch.schema import CONTAMINATION, EXPORT, FEATURES, HIGH_QUANTILE, KEYS, MEASURES, MEDIUM_QUANTILE
 from tidewatch.functions.timestamps import truncate
-from tidewatch.sources import csv_logs
+from tidewatch.sources import csv_logs, user_bitmaps, user_files
+from tidewatch.sources import ordered_export as ordered
 from tidewatch.sources.activity_log import split_log
+from tidewatch.sources.activity_store import ADDITIVE, ActivityStore
+from tidewatch.sources.date_formats import FORMATS
 from tidewatch.sources.events import read_events, tag_events
 from tidewatch.sources.risk_table import as_report_table, open_risk_table, read_risk_csv, write_csv, write_risk_table
 from tidewatch.staging import stage, stage_path
 from tidewatch.streaming import activity_stream as streaming
+from tidewatch.streaming import user_state
+from tidewatch.streaming.late import LateAwareActivity
 
 try:  # the text operators are optional: the rest works without their folder
     from tidewatch.llm import queries as text
@@ -358,24 +364,27 @@ def high_risk_heatmap(spark: SparkSession, sf: str) -> DataFrame:
 BAD_USERS = 50  # of so many users one has unreadable dates, another unreadable byte counts
 
 
-def _csv_logs(spark: SparkSession, sf: str, spoiled: bool = False) -> dict[str, str]:
-    """The events as the three CSV logs, in the shared folder."""
-    events = read_events(spark, sf).where("ts is not null and user_id is not null")
-    user, kind = F.col("user_id"), F.col("event_type")
-    moment = F.date_format("ts", "MM/dd/yyyy HH:mm:ss")
-    bad = lambda at: F.lit(spoiled) & (user % BAD_USERS == at)
-    moment = F.when(bad(7), F.lit("some day")).otherwise(moment)
-    received = F.get_json_object("props", "$.k")
-    received = F.when(bad(8), F.lit("many")).otherwise(received)
-    rows = events.select(user.cast("string").alias("user"), moment.alias("date"), kind.alias("activity"), "value", received.alias("k"))
+def _csv_logs(
+    spark: SparkSession, sf: str, spoiled: bool = False, formats: tuple[str, ...] = (csv_logs.DEFAULT_FORMAT,)
+) -> dict[str, str]:
+    """The events as the three CSV logs, in the shared folder: an equal share of the users in each date format."""
     paths = {name: stage_path(spark, f"csv-{name}") for name in ("logon", "device", "http")}
-    for name, kinds in (("logon", ("signup", "error")), ("device", ("purchase",))):
-        write_csv(rows.where(F.col("activity").isin(*kinds)).select("activity", "user", "date"), paths[name])
-    web = rows.where(F.col("activity").isin("view", "click"))
-    none = F.lit(None).cast("string")
-    web = web.select(none.alias("id"), "date", none.alias("time"), "user", none.alias("pc"), F.col("activity").alias("url"),
-                     none.alias("content"), F.col("value").cast("string"), "k")
-    web.write.option("header", False).option("escape", '"').csv(paths["http"])
+    user, kind = F.col("user_id"), F.col("event_type")
+    for i, fmt in enumerate(formats):
+        events = read_events(spark, sf).where("ts is not null and user_id is not null").where(user % len(formats) == i)
+        moment = F.date_format("ts", fmt)
+        bad = lambda at: F.lit(spoiled) & (user % BAD_USERS == at)
+        moment = F.when(bad(7), F.lit("some day")).otherwise(moment)
+        received = F.get_json_object("props", "$.k")
+        received = F.when(bad(8), F.lit("many")).otherwise(received)
+        rows = events.select(user.cast("string").alias("user"), moment.alias("date"), kind.alias("activity"), "value", received.alias("k"))
+        for name, kinds in (("logon", ("signup", "error")), ("device", ("purchase",))):
+            write_csv(rows.where(F.col("activity").isin(*kinds)).select("activity", "user", "date"), paths[name], "append")
+        web = rows.where(F.col("activity").isin("view", "click"))
+        none = F.lit(None).cast("string")
+        web = web.select(none.alias("id"), "date", none.alias("time"), "user", none.alias("pc"), F.col("activity").alias("url"),
+                         none.alias("content"), F.col("value").cast("string"), "k")
+        web.write.mode("append").option("header", False).option("escape", '"').csv(paths["http"])
     return paths
 
 
@@ -387,6 +396,14 @@ def csv_logs_activity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(merged.withColumns({"user": F.col("user").cast("bigint"), "http_bytes_received": whole}))
 
 
+def mixed_format_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The CSV logs with files in three date formats in each folder, merged by hour."""
+    log = csv_logs.read_tagged(spark, **_csv_logs(spark, sf, formats=FORMATS), timestamp_format=FORMATS)
+    merged = act.merged_activity(log.withColumn("date", truncate(F.col("date"), "hour")))
+    whole = F.col("http_bytes_received").cast("bigint")
+    return _rounded(merged.withColumns({"user": F.col("user").cast("bigint"), "http_bytes_received": whole}))
+
+
 def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of spoiled logs that cannot be read, counted by log and reason."""
     frames = csv_logs.read_logs(spark, **_csv_logs(spark, sf, spoiled=True))
@@ -410,6 +427,65 @@ def stored_table_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(spark.sql(asked, args={"level": "Low"}, stored=kept))
 
 
+def ordered_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The export written in order over eight parts, and read back with each row's place in it."""
+    rows = _scored(spark, sf, ()).select(*KEYS, "risk_score", "risk_level")
+    path = stage_path(spark, "ordered")
+    ordered.write_ordered(rows, path, parts=8)
+    return _rounded(ordered.read_ordered(spark, path, rows.schema))
+
+
+def user_drilldown(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the ten users with the most High rows, from the files that can hold them."""
+    risk = stage(_scored(spark, sf, ()).select(*KEYS, "risk_score", "risk_level"), "drilldown")
+    path = stage_path(spark, "by-user")
+    user_files.write_by_user(risk, path, files=16)
+    chosen = reports.top_users_high_risk(as_report_table(risk))
+    kept = Filters(users=chosen).apply(user_files.open_for_users(spark, path, chosen))
+    return _rounded(kept.select("user", "date", "risk_score", "risk_level"))
+
+
+def distinct_users_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users, and those with a High row, of three date ranges, from daily bitmaps."""
+    risk = stage(_scored(spark, sf, ()).select(*KEYS, "risk_level"), "bitmap-rows")
+    numbers = stage(user_bitmaps.number_users(risk), "user-numbers")
+    days = stage(user_bitmaps.daily_bitmaps(risk, numbers), "user-days")
+    ranges = (("all", None, None), ("fortnight", START, END), ("day", START, START))
+    return user_bitmaps.distinct_users(days, ranges)
+
+
+# --- growing by loads ---
+
+# The event table is a month; three loads of it by day.
+LOADS = (("first", "2000-01-01", "2024-01-11"), ("second", "2024-01-11", "2024-01-21"), ("third", "2024-01-21", "2100-01-01"))
+
+
+def _loads(spark: SparkSession, sf: str, grain: str) -> dict[str, DataFrame]:
+    log = _log(spark, sf, grain)
+    span = lambda a, b: (F.col("date") >= F.lit(a).cast("timestamp_ntz")) & (F.col("date") < F.lit(b).cast("timestamp_ntz"))
+    return {name: log.where(span(a, b)) for name, a, b in LOADS}
+
+
+def incremental_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged activity out of order in three loads, one of them twice."""
+    loads = _loads(spark, sf, "raw")
+    store = ActivityStore(spark, stage_path(spark, "store"))
+    for name in ("second", "first", "third", "second"):
+        store.add(name, loads[name])
+    return _rounded(store.merged().select(*KEYS, *ADDITIVE))
+
+
+def refreshed_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Score cuts after three loads of scores, one of them repeated."""
+    scores = stage(_scored(spark, sf, ()).select(*KEYS, "risk_score"), "load-scores")
+    store = QuantileStore(spark, stage_path(spark, "quantiles"))
+    for name, a, b in (*LOADS, LOADS[0]):
+        rows = scores.where((F.col("date") >= F.lit(a).cast("timestamp_ntz")) & (F.col("date") < F.lit(b).cast("timestamp_ntz")))
+        store.add(name, rows.select(F.col("risk_score").alias("value")))
+    cuts = store.quantiles([MEDIUM_QUANTILE, HIGH_QUANTILE, 1 - CONTAMINATION])
+    return _rounded(spark.createDataFrame([(*cuts.values, cuts.rows)], "medium_from DOUBLE, high_from DOUBLE, anomaly_from DOUBLE, rows BIGINT"))
+
+
 # --- streaming ---
 
 
@@ -432,6 +508,25 @@ def stream_scored_activity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scored.select(*KEYS, *MEASURES, "risk_score", "risk_level"))
 
 
+def stream_user_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Spikes against each user's own past, from the state of the stream, for every closed day."""
+    rows = streaming.drain(user_state.user_history(streaming.event_stream(spark, sf, "events.parquet")), "history")
+    return _rounded(rows)
+
+
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """User-days of a stream whose files come out of order: closed windows corrected by late rows."""
+    folder = stage_path(spark, "late-events")
+    # The last ten days, the first, then those between: two thirds of the rows are late or out of order.
+    for i in (2, 0, 1):
+        _, a, b = LOADS[i]
+        span = (F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))
+        read_events(spark, sf).where(span).write.mode("append").parquet(folder)
+    activity = LateAwareActivity(spark, stage_path(spark, "late"))
+    activity.run(streaming.event_stream(spark, folder, "*.parquet", files_per_batch=1))
+    return _rounded(activity.corrected())
+
+
 REGISTERED: tuple[Query, ...] = (
     logon_daily, http_daily, device_daily, merged_activity, merged_activity_join, calendar_features,
     user_baseline, user_spikes, raw_grain_history, activity_ratios, missing_flags, logon_rolling,
@@ -444,6 +539,8 @@ REGISTERED: tuple[Query, ...] = (
     high_risk_by_hour, high_risk_by_weekday, high_risk_heatmap, stream_daily_activity,
     stream_scored_activity, zscore_anomaly_score, filter_spikes_all, filter_spikes_exact, filter_user_list,
     filter_open_range, kpi_texts_empty, csv_logs_activity, rejected_rows, csv_export_round_trip, stored_table_report,
+    mixed_format_logs, ordered_export, user_drilldown, distinct_users_by_range, incremental_activity, refreshed_thresholds,
+    stream_user_history, stream_late_rows,
 )
 
 
