@@ -36,9 +36,8 @@ def test_ids_of_the_library(ranks, reference):
 
 def test_long_words_and_small_caches(ranks, reference, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_TRANSITIONS", 50)
-    monkeypatch.setattr(bpe, "KEPT_BYTES", 700)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 20)
-    engine = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    engine = bpe.Encoder(ranks, public_tokenizers.PATTERN, kept_bytes=1400)
     rng = random.Random(1)
     texts = ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcdeé") for _ in range(4000)), "-" * 999, " " * 777 + "x"]
     for text in texts + odd_texts(300):
@@ -101,16 +100,18 @@ def test_tables(spark, reference):
     assert bpe.decode_documents(empty, PATH).count() == 0
 
 
-def test_what_a_worker_keeps_is_bounded(ranks, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_BYTES", 60_000)
-    engine, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(4)
-    most = 0
+def test_what_a_worker_keeps_is_bounded(ranks, reference):
+    engine, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN, kept_bytes=60_000), random.Random(4)
+    most, seen = 0, set()
     for _ in range(200):
-        text = " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 12))) for _ in range(40))
+        words = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 12))) for _ in range(40)]
+        text = " ".join([*words, "often", "met,"])
+        seen |= {*words}
         assert engine.encode(text) == reference.encode_ordinary(text)
-        most = max(most, len(engine.matches) + len(engine.after_blank) + len(engine.first))
-        assert engine.kept <= bpe.KEPT_BYTES + 1000
-    assert 100 < most < 400
+        held = [engine.matches, engine.after_blank, engine.first, *engine.earlier]
+        most = max(most, sum(map(len, held)))
+        assert engine.kept <= 31_000 and "often" in engine.after_blank | engine.earlier[1]
+    assert 100 < most < 400 < len(seen)
 
 
 def test_query_digests(spark, reference):

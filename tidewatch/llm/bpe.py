@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from tidewatch.llm.common import pieces
 
 # Bounds on what a worker keeps; beyond them it starts anew, with the same results. Words count by
 # the bytes they take, some 300 each; a transition takes about 400 with its state, a pair 130.
-KEPT_BYTES, KEPT_TRANSITIONS, KEPT_PAIRS = 120_000_000, 60_000, 300_000
+KEPT_BYTES, KEPT_TRANSITIONS, KEPT_PAIRS = 240_000_000, 60_000, 300_000
 SHORT = 64  # bytes of a word whose end is awaited
 _NEVER = 1 << 40
 _LEAF: dict[int, int] = {}
@@ -280,70 +280,86 @@ class Encoder:
     between such places is looked up whole; anything else is split by the pattern itself.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, blanks_lead: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, blanks_lead: bool = True, kept_bytes: int = KEPT_BYTES):
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.blanks_lead = blanks_lead
-        self.matches: dict[str, tuple[int, ...]] = {}
-        self.after_blank: dict[str, tuple[int, ...]] = {}
-        self.first: dict[str, tuple[int, ...]] = {}
+        self.kept_bytes = kept_bytes
+        # Ids are kept as packed numbers, which join faster and take less room than tuples.
+        self.code = "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
+        # Words by what leads them; of each the words met lately and those met in the time before.
+        self.matches: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.earlier: tuple[dict, dict, dict] = ({}, {}, {})
         self.kept = 0
         self.feed = self._split("\n")
 
-    def _keep(self, known: dict, text: str, ids: tuple[int, ...]) -> None:
-        """Remember a word of usual length; all are forgotten when they take too much room."""
+    def _keep(self, known: dict, text: str, ids: bytes) -> None:
+        """Remember a word of usual length. When half the room is taken, the words met lately become the
+        earlier ones, of which those met again come back, and the others are forgotten the next time."""
         if len(text) > 48:
             return
-        if self.kept > KEPT_BYTES:
+        if self.kept > self.kept_bytes // 2:
+            self.earlier = tuple(dict(words) for words in (self.matches, self.after_blank, self.first))
             for words in (self.matches, self.after_blank, self.first):
                 words.clear()
             self.kept = 0
         known[text] = ids
-        # A dictionary's slots, a text of up to two bytes a character, and a tuple of shared numbers.
-        self.kept += 100 + 74 + 2 * len(text) + 56 + 8 * len(ids)
+        # A dictionary's slots, a text of up to two bytes a character, and the packed ids.
+        self.kept += 100 + 74 + 2 * len(text) + 40 + len(ids)
 
-    def _match(self, text: str) -> tuple[int, ...]:
+    def _match(self, text: str, keep: bool = True) -> bytes:
         ids = self.matches.get(text)
+        if ids is None and text[0] == " ":  # kept as a word behind a blank
+            ids = self.after_blank.get(text[1:])
         if ids is None:
-            ids = self.machine.word(text.encode("utf-8", "surrogatepass"))
-            self._keep(self.matches, text, ids)
+            ids = self.earlier[0].get(text)
+            if ids is None:
+                ids = array(self.code, self.machine.word(text.encode("utf-8", "surrogatepass"))).tobytes()
+            if keep:
+                self._keep(self.matches, text, ids)
         return ids
 
-    def _split(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self._match(m.group()) for m in self.pattern.finditer(text)))
+    def _split(self, text: str) -> bytes:
+        found = [m.group() for m in self.pattern.finditer(text)]
+        if len(found) == 1:  # kept by the caller, with what led it
+            return self._match(found[0], False)
+        return b"".join(map(self._match, found))
 
-    def _looked_up(self, known: dict, chunk: str, lead: str) -> tuple[int, ...]:
+    def _looked_up(self, known: dict, chunk: str, lead: str) -> bytes:
         ids = known.get(chunk)
         if ids is None:
-            ids = self._split(lead + chunk)
+            ids = self.earlier[1 if lead else 2].get(chunk)
+            if ids is None:
+                ids = self._split(lead + chunk)
             self._keep(known, chunk, ids)
         return ids
 
-    def _line(self, line: str) -> Iterable[tuple[int, ...]]:
+    def _line(self, line: str) -> bytes:
         chunks = line.split(" ")
         known = self.after_blank
         ids = list(map(known.get, chunks))
         if None in ids or chunks[0] not in self.first:
             if any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
-                return (self._split(line),)
-            ids[0] = ()
+                return self._split(line)
+            ids[0] = b""
             for i, x in enumerate(ids):
                 if x is None:
                     ids[i] = self._looked_up(known, chunks[i], " ")
         ids[0] = self._looked_up(self.first, chunks[0], "")
-        return ids
+        return b"".join(ids)
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> np.ndarray:
+        """The ids of a text as an array of unsigned numbers."""
         if not text:
-            return []
+            return np.empty(0, dtype=self.code)
         if not self.blanks_lead:
-            return list(self._split(text))
-        feed, out = self.feed, []
-        for i, line in enumerate(_LINE_END.split(text)):
-            if i:
-                out += feed
-            out += chain.from_iterable(self._line(line))
-        return out
+            return np.frombuffer(self._split(text), dtype=self.code)
+        return np.frombuffer(self.feed.join(map(self._line, _LINE_END.split(text))), dtype=self.code)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.packed(text).tolist()
 
 
 # A line feed between visible characters.
@@ -402,9 +418,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.read().splitlines()) }
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load_ranks(path), pattern)
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
+    return Encoder(load_ranks(path), pattern, kept_bytes=kept_bytes)
 
 
 @lru_cache(maxsize=2)
@@ -423,14 +439,16 @@ def _decoded(tokens: list[bytes], ids: np.ndarray) -> str:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = False
-) -> DataFrame:
+    docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = False,
+    kept_bytes: int = KEPT_BYTES,
+) -> DataFrame:
     """The ``keep`` columns and ``ids`` of every row of ``docs`` (text and those columns).
 
     Null and empty texts have no ids. Every match of ``pattern`` is encoded by itself; there are
     no special tokens. ``path`` is a rank file that every executor can open. Repeated rows are
     encoded each; other columns are not read. With ``decode`` the ids are decoded again, as a stream, in
-    the worker that made them, and ``text`` is what they give.
+    the worker that made them, and ``text`` is what they give. A worker remembers words in
+    ``kept_bytes``: less room takes more time and gives the same ids.
     """
     chosen = docs.select(*keep, "text")
     schema = StructType([chosen.schema[name] for name in keep]).add("ids", ArrayType(IntegerType()))
@@ -438,9 +456,9 @@ def encode_documents(
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine, tokens = encoder(path, pattern), token_table(path) if decode else []
+        engine, tokens = encoder(path, pattern, kept_bytes), token_table(path) if decode else []
         for piece in pieces(batches, "text"):
-            ids = [np.array(engine.encode(t), dtype=np.int32) for t in piece.column("text").to_pylist()]
+            ids = [engine.packed(t).astype(np.int32) for t in piece.column("text").to_pylist()]
             columns = {name: piece.column(name) for name in keep} | {"ids": ids}
             if decode:
                 columns["text"] = [_decoded(tokens, x) for x in ids]
