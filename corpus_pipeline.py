@@ -20,6 +20,8 @@ from tidewatch.llm.mixing import repeated
 # A text is rejected whose words' languages are less sure than this; a mixture of clear ones is not.
 LEAST_SCORE = 0.4
 RANKS = "byte_bpe_multi_50k.tiktoken"
+# What a worker of the last stage keeps of words: it is the same process that served the earlier stages.
+WORD_BYTES = 80_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, text): the ids of each text, and the text decoded from them."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), decode=True)
+    kept = ("doc_id", "lang", "source")
+    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, kept, decode=True, kept_bytes=WORD_BYTES)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
