@@ -112,10 +112,15 @@ def _parity(words: Column) -> Column:
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y) of class ids those that reach the threshold, as the id of the later one."""
-    pairs = pairs.select("x", "y").distinct()
+    """Of pairs (x, y) of class ids those that reach the threshold, as the id of the later one.
+
+    Only the sets of lines that occur in a pair go into the two joins.
+    """
+    pairs = stage(pairs.select("x", "y").distinct(), "line-pairs")
+    met = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    sets = stage(classes.select("id", "s", "first").join(met, "id", "left_semi"), "line-sets")
     for e in "xy":
-        ends = classes.select(F.col("id").alias(e), F.col("s").alias(f"{e}s"), F.col("first").alias(f"{e}f"))
+        ends = sets.select(F.col("id").alias(e), F.col("s").alias(f"{e}s"), F.col("first").alias(f"{e}f"))
         pairs = pairs.join(ends, e)
     shared = F.size(F.array_intersect("xs", "ys"))
     near = shared * 100 >= (F.size("xs") + F.size("ys") - shared) * percent
