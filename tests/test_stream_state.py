@@ -131,3 +131,21 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
         activity.take(batches[i], i)
     assert _rows(activity.corrected()) == _batch(events)
     assert not activity.late().isEmpty() and LateAwareActivity(spark, str(tmp_path / "none")).corrected().isEmpty()
+
+
+def test_history_in_a_session_with_the_default_state_store(spark):
+    """The provider that Spark starts with can not hold the states of a user."""
+    import __spark_entry__ as contract
+
+    key, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, default)
+    try:
+        rows = contract.stream_user_history(spark, DATA).collect()
+        assert spark.conf.get(key) == default
+    finally:
+        spark.conf.set(key, before)
+    events = read_events(spark, DATA)
+    expected = _running(events)
+    latest = events.agg(F.max("ts")).first()[0]
+    assert {(r.user, r.date) for r in rows} == {k for k in expected if k[1] + timedelta(days=1) <= latest - timedelta(days=1)}

@@ -11,17 +11,18 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import ROLLING_ROWS
 from ..schema import MEASURES, SPIKES
 from ..session import require_utc
 from ..sources.events import tag_events
 
-DAY_SECONDS = 86_400
+DAY_MS = 86_400_000
 _EPOCH = datetime(1970, 1, 1)
 _COUNTS = "logon_count LONG, http_requests LONG, device_activity_count LONG"
 
@@ -74,53 +75,37 @@ class Moments:
 OUTPUT = f"date TIMESTAMP_NTZ, {_COUNTS}, logon_spike DOUBLE, http_spike DOUBLE, device_spike DOUBLE, logon_rolling_3 DOUBLE, logon_delta DOUBLE, days LONG"
 
 
-class UserHistory(StatefulProcessor):
-    """Adds up a user's open days; a timer at a day's end closes it once the watermark is there.
+# Per user: the open days with their three counts in a row, and the moments however long the history is.
+STATE = "days ARRAY<LONG>, counts ARRAY<LONG>, n LONG, means ARRAY<DOUBLE>, squares ARRAY<DOUBLE>, last ARRAY<LONG>"
 
-    State per user: one entry per open day, and one row of moments however long the history is.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.days = handle.getMapState("days", "day LONG", _COUNTS)
-        self.history = handle.getValueState("history", "n LONG, means ARRAY<DOUBLE>, squares ARRAY<DOUBLE>, last ARRAY<LONG>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs()
-        totals: dict[int, list[int]] = {}
+def _advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Add up a user's open days, and close those that the watermark has passed."""
+    mark = state.getCurrentWatermarkMs()
+    held, moments = {}, None
+    if state.exists:
+        days, counts, *packed = state.get
+        held = {day: list(counts[i * 3 : i * 3 + 3]) for i, day in enumerate(days)}
+        moments = tuple(packed)
+    if not state.hasTimedOut:
         for frame in rows:
-            for day, *counts in frame[["day", *MEASURES]].itertuples(index=False, name=None):
-                if (day + 1) * DAY_SECONDS * 1000 > closed:  # a closed day takes nothing more
-                    held = totals.setdefault(int(day), [0, 0, 0])
-                    totals[int(day)] = [a + int(b) for a, b in zip(held, counts, strict=True)]
-        for day, counts in totals.items():
-            if self.days.containsKey((day,)):
-                counts = [a + b for a, b in zip(self.days.getValue((day,)), counts, strict=True)]
-            else:
-                self.handle.registerTimer((day + 1) * DAY_SECONDS * 1000)
-            self.days.updateValue((day,), tuple(counts))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() // (DAY_SECONDS * 1000)
-        due = sorted((day, tuple(counts)) for (day,), counts in self.days.iterator() if day < until)
-        if not due:
-            return
-        history = Moments(tuple(self.history.get()) if self.history.exists() else None)
-        out = []
-        for day, counts in due:
-            found = history.add(tuple(int(c) for c in counts))
-            date = _EPOCH + timedelta(days=day)
-            out.append({"user": key[0], "date": date, **dict(zip(MEASURES, counts, strict=True)), **found, "days": history.n})
-            self.days.removeKey((day,))
-        self.history.update(history.packed())
-        frame = pd.DataFrame(out)
-        for name in SPIKES:
-            frame[name] = frame[name].astype("Float64")
-        yield frame
-
-    def close(self) -> None:
-        pass
+            for day, *counts in zip(*(frame[c].tolist() for c in ("day", *MEASURES)), strict=True):
+                if (day + 1) * DAY_MS > mark:  # a closed day takes nothing more
+                    held[day] = [a + b for a, b in zip(held.get(day, (0, 0, 0)), counts, strict=True)]
+    history = Moments(moments)
+    due = sorted(day for day in held if (day + 1) * DAY_MS <= mark)
+    out = []
+    for day in due:
+        counts = held.pop(day)
+        found = history.add(tuple(counts))
+        out.append({"user": key[0], "date": _EPOCH + timedelta(days=day), **dict(zip(MEASURES, counts, strict=True)), **found, "days": history.n})
+    state.update(([*held], [c for counts in held.values() for c in counts], *history.packed()))
+    if held:  # the next day to close wakes the user up
+        state.setTimeoutTimestamp((min(held) + 1) * DAY_MS)
+    if out:
+        columns = {name: [row[name] for row in out] for name in out[0]}
+        # A missing spike is NaN here and NULL in the table.
+        yield pd.DataFrame(columns | {name: np.array(columns[name], dtype=float) for name in SPIKES})
 
 
 def user_history(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -128,11 +113,12 @@ def user_history(events: DataFrame, delay: str = "1 day") -> DataFrame:
     running mean and deviation, rolling mean, delta, and ``days``, how many days of the user are known.
 
     Rows without user or time are left out, and rows of a day already closed are dropped as late. A
-    spike is NULL while the deviation is unknown or zero.
+    spike is NULL while the deviation is unknown or zero. Any state store will do: a user's state is one
+    value, read and written once a batch.
     """
     require_utc(events.sparkSession)
     counts = daily_counts(events).withWatermark("event_time", delay)
     kind = counts.schema["user"].dataType.simpleString()
-    return counts.groupBy("user").transformWithStateInPandas(
-        UserHistory(), f"user {kind}, {OUTPUT}", outputMode="Append", timeMode="EventTime"
+    return counts.groupBy("user").applyInPandasWithState(
+        _advance, f"user {kind}, {OUTPUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
