@@ -117,3 +117,42 @@ def test_undecidable_files_are_named(spark, tmp_path):
     kept = csv_logs.read_tagged(spark, **paths, rejects=str(tmp_path / "rejects"), timestamp_format=date_formats.FORMATS)
     assert sorted(r.user for r in kept.where("source = 'logon'").collect()) == ["u3", "u5", "u6", "u8"]
     assert spark.read.json(str(tmp_path / "rejects")).count() == 4
+
+
+def test_parts_of_a_folder_vote_together(spark, tmp_path):
+    """A part with the first days of a month decides nothing alone."""
+    paths = {}
+    for name in ("logon", "device", "http"):
+        paths[name] = [str(tmp_path / name / str(i)) for i in STYLES.values()]
+        for style, i in STYLES.items():
+            (tmp_path / name).mkdir(exist_ok=True)
+            for part, m in enumerate(MOMENTS):
+                t = m.strftime(style)
+                row = f"x,{t},,u{part},pc,url,c,1,2" if name == "http" else f"u{part},{t},on"
+                _log(tmp_path / name / str(i), f"part-{part}.csv", "" if name == "http" else "user,date,activity", [row])
+    got = csv_logs.read_tagged(spark, **paths, timestamp_format=date_formats.FORMATS, by_folder=True)
+    assert sorted((r.source, r.user, r.date) for r in got.collect()) == sorted((s, f"u{k}", m) for s in paths for k, m in enumerate(MOMENTS) for _ in STYLES)
+    with pytest.raises(Exception, match="ambiguous"):
+        csv_logs.read_tagged(spark, **paths, timestamp_format=date_formats.FORMATS).collect()
+    alone = csv_logs.read_logs(spark, **{n: p[:1] for n, p in paths.items()}, timestamp_format=date_formats.FORMATS[1:], by_folder=True)[0]
+    assert {r.problem for r in alone.collect()} == {None, "date"}
+
+
+def test_mixed_format_logs_of_events_in_order_of_time(spark, tmp_path):
+    """Every part file that the query writes holds a few days only."""
+    import __spark_entry__ as contract
+
+    start = datetime(2024, 1, 1)
+    kinds = ("signup", "view", "purchase")
+    rows = [(24 * d + h, start + timedelta(days=d, hours=h), h % 9, kinds[(h // 9) % 3], 1.0, '{"k": 2}') for d in range(28) for h in range(24)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.repartitionByRange(7, "ts").write.parquet(str(tmp_path / "events.parquet"))
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(128 << 20))  # every file a task of its own
+    try:
+        got = contract.mixed_format_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    wanted = contract.csv_logs_activity(spark, str(tmp_path)).collect()
+    assert sorted(got, key=str) == sorted(wanted, key=str) and len(got) == len(rows)

@@ -62,18 +62,20 @@ def read_http(spark: SparkSession, path: str | list[str], multi_line: bool = Fal
     return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
-def _keyed(raw: DataFrame, fmt: str | Sequence[str], numbers: tuple[str, ...] = ()) -> DataFrame:
-    """Parsed columns and ``problem``: what could not be read, a column or the file's dates as a whole,
-    NULL for a good row."""
+def _keyed(raw: DataFrame, fmt: str | Sequence[str], numbers: tuple[str, ...] = (), by_folder: bool = False) -> DataFrame:
+    """Parsed columns and ``problem``: what could not be read, a column or the dates of the file (or its folder)
+    as a whole, NULL for a good row."""
     texts = raw.withColumns({"user": _present("user"), "raw_date": _present("date")})
     unread = F.when(F.col("raw_date").isNotNull() & F.col("date").isNull(), "date")
     if isinstance(fmt, str):
         keyed = texts.withColumn("date", parse(F.col("raw_date"), fmt))
     else:
-        votes = vote(texts.select(F.col("_file").alias("file"), "raw_date"), fmt)
-        votes = votes.select(F.col("file").alias("_file"), "format", F.col("problem").alias("_undecided"))
-        keyed = texts.join(votes, "_file").withColumn("date", read_by(fmt))
-        named = F.concat(F.lit("dates of "), F.col("_file"), F.lit(": "), F.col("_undecided"))
+        voter = F.regexp_replace("_file", "/[^/]*$", "") if by_folder else F.col("_file")
+        texts = texts.withColumn("_voter", voter)
+        votes = vote(texts.select(F.col("_voter").alias("file"), "raw_date"), fmt)
+        votes = votes.select(F.col("file").alias("_voter"), "format", F.col("problem").alias("_undecided"))
+        keyed = texts.join(votes, "_voter").withColumn("date", read_by(fmt))
+        named = F.concat(F.lit("dates of "), F.col("_voter"), F.lit(": "), F.col("_undecided"))
         unread = F.when(F.col("raw_date").isNotNull() & F.col("_undecided").isNotNull(), named).when(
             F.col("raw_date").isNotNull() & F.col("date").isNull(), "date"
         )
@@ -90,24 +92,26 @@ def read_logs(
     *,
     timestamp_format: str | Sequence[str] = DEFAULT_FORMAT,
     multi_line: bool = False,
+    by_folder: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(logon, http, device) with parsed dates. ``raw_*`` keep the text and ``problem`` names an unread
     column for :func:`rejected`.
 
     With several timestamp formats, every file is read in the one that its own dates vote for. A file that
-    cannot be decided is a ``problem`` of its rows, by name.
+    cannot be decided is a ``problem`` of its rows, by name. With ``by_folder`` the files of a folder are parts of
+    one log in one format and vote together: a part that holds the first days of a month alone decides nothing.
 
     ``multi_line`` reads quoted line breaks but makes each file one task; leave it
     off for large unsplit files.
     """
     require_utc(spark)
     plain = [
-        _keyed(read_headered(spark, path, multi_line), timestamp_format).select(
+        _keyed(read_headered(spark, path, multi_line), timestamp_format, by_folder=by_folder).select(
             "user", "date", "raw_date", _present("activity").alias("activity"), "problem"
         )
         for path in (logon, device)
     ]
-    web = _keyed(read_http(spark, http, multi_line), timestamp_format, BYTES).select(
+    web = _keyed(read_http(spark, http, multi_line), timestamp_format, BYTES, by_folder).select(
         "user",
         "date",
         "raw_date",
