@@ -122,12 +122,15 @@ class ClusterDistance:
         row = F.struct(*names)
         for turn in range(self.seed_rounds):
             far = scaled.select("*", _gaps(drawn)(row)["d"].alias("_far"))
-            total = far.agg(F.sum("_far")).first()[0]
+            total, most = far.agg(F.sum("_far"), F.max("_far")).first()
             if not total:
                 break
             digits = F.substring(F.md5(F.concat_ws("|", "_key", F.lit(turn)).cast("binary")), 1, 8)
             chance = F.conv(digits, 16, 10).cast("double") / F.lit(2.0**32)
-            hits = far.where(chance < F.col("_far") * F.lit(2.0 * self.k) / F.lit(total)).collect()
+            drawn_at = lambda far: chance < far * F.lit(2.0 * self.k) / F.lit(total)  # noqa: B023, E731
+            # Few rows have a chance that even the farthest would be drawn at; only they are measured again.
+            near_draw = scaled.where(drawn_at(F.lit(most))).select("*", _gaps(drawn)(row)["d"].alias("_far"))
+            hits = near_draw.where(drawn_at(F.col("_far"))).collect()
             drawn += [vector(r) for r in sorted(hits, key=lambda r: (r["_key"], vector(r)))]
         held = scaled.select(_gaps(drawn)(row)["c"].alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
         weights = dict(tuple(r) for r in held)
