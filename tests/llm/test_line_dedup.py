@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from tidewatch.llm import line_dedup
@@ -57,3 +58,23 @@ def test_no_python(spark):
     for query in (op1_url_filter, op3_line_dedup):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert not re.search("Arrow|Pandas|Python|Cartesian|NestedLoop", plan)
+
+
+def test_wide_parity_maps_leave_unlike_long_lines_out(spark):
+    """Sets of 200 words fill a map of 64 bits, so that unlike ones pass it; no similar pair is lost."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    word = lambda: rng.randrange(-(2**31), 2**31)
+    base = [[word() for _ in range(200)] for _ in range(12)]
+    sets = [(i, s) for i, s in enumerate(base)] + [(100 + i, s[: 200 - 2 * i] + [word() for _ in range(2 * i)]) for i, s in enumerate(base)]
+    classes = spark.createDataFrame([(i, len(s), s) for i, s in sets], "id long, n int, s array<int>")
+    ends = [classes.select(F.col("id").alias(e)) for e in "xy"]
+    pairs = ends[0].join(ends[1], F.col("x") < F.col("y"))
+    kept = {tuple(r) for r in line_dedup._may_reach(pairs, classes, 75).collect()}
+    by_id = dict(sets)
+    true = {(x, y) for x in by_id for y in by_id if x < y and 100 * len({*by_id[x]} & {*by_id[y]}) >= 75 * len({*by_id[x]} | {*by_id[y]})}
+    assert true == {(i, 100 + i) for i in range(12)} and true <= kept and len(kept) < len(true) + 5
+    narrow = classes.select("id", line_dedup._parity(F.col("s")).alias("p")).collect()
+    passed = [(a.id, b.id) for a in narrow for b in narrow if a.id < b.id and bin((a.p ^ b.p) & (2**64 - 1)).count("1") <= 400 - 2 * 172]
+    assert len(passed) > 200
