@@ -78,3 +78,37 @@ def test_wide_parity_maps_leave_unlike_long_lines_out(spark):
     narrow = classes.select("id", line_dedup._parity(F.col("s")).alias("p")).collect()
     passed = [(a.id, b.id) for a in narrow for b in narrow if a.id < b.id and bin((a.p ^ b.p) & (2**64 - 1)).count("1") <= 400 - 2 * 172]
     assert len(passed) > 200
+
+
+def test_maps_of_all_widths_bound_the_difference(spark):
+    """No map tells more words apart than there are, whichever widths meet; unlike lines of 100 words are told apart in the join."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    word = lambda: rng.randrange(-(2**31), 2**31)
+    sets = [[word() for _ in range(n)] for n in (3, 40, 41, 45, 100, 101, 110)]
+    sets += [s[: len(s) - len(s) // 9] + [word() for _ in range(len(s) // 9 + extra)] for s in sets for extra in (0, 1)]
+    sets += [[word() for _ in range(100)] for _ in range(20)]
+    maps = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "id long, n int, s array<int>").select("id", "n", *line_dedup._map())
+    p, r = maps.alias("p"), maps.alias("r")
+    of = lambda e: [F.col(f"{e}.{c}") for c in line_dedup.MAP]
+    least = line_dedup._differ(F.col("p.n"), F.col("r.n"), of("p"), of("r"))
+    rows = p.join(r, F.col("p.id") < F.col("r.id")).select(F.col("p.id"), F.col("r.id"), least, line_dedup._alike(75)).collect()
+    for x, y, bits, alike in rows:
+        a, b = set(sets[x]), set(sets[y])
+        assert bits <= len(a ^ b)
+        assert alike or 100 * len(a & b) < 75 * len(a | b)
+    first = len(sets) - 20
+    assert not any(alike for x, _, _, alike in rows if x >= first)
+
+
+def test_join_makes_few_pairs_of_unlike_long_lines(spark, monkeypatch):
+    """Lines of 90 words that share rare ones: the join passes on no pair, where maps of 64 bits let many pass."""
+    rng = random.Random(3)
+    rows = [(i, " ".join([f"r{rng.randrange(60)}" for _ in range(30)] + [f"c{rng.randrange(3000)}" for _ in range(80)])) for i in range(300)]
+    seen = []
+    whole = line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *rest: (seen.append(pairs.count()), whole(pairs, *rest))[1])
+    table = spark.createDataFrame([(d, t, 1, 2, "x", "y", 5) for d, t in rows], SCHEMA)
+    assert line_dedup.repeated_lines(table).count() == 0
+    assert sum(seen) < 30
