@@ -112,3 +112,26 @@ def test_join_makes_few_pairs_of_unlike_long_lines(spark, monkeypatch):
     table = spark.createDataFrame([(d, t, 1, 2, "x", "y", 5) for d, t in rows], SCHEMA)
     assert line_dedup.repeated_lines(table).count() == 0
     assert sum(seen) < 30
+
+
+def test_language_stage_judges_small_pieces(monkeypatch):
+    """The pipeline's workers hold later stages' words too: a batch of texts is judged a bounded share at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewatch.llm import language
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    held = []
+    monkeypatch.setattr(language, "_judged", lambda model, texts: (held.append(sum(map(len, texts))), (None, None, [1.0] * len(texts)))[1])
+    empty = np.zeros((1, 2), np.float32)
+    model = language.LanguageModel(("a", "b"), empty, empty, np.zeros(0, np.uint64), empty, language.Chain.flat(2))
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 2000] * 200})
+    kept = list(language.keep_known_languages(Docs(), model, 0.4)([batch]))
+    assert sum(b.num_rows for b in kept) == 200 and sum(held) == 2_000_000
+    assert max(held) <= 300_000

@@ -34,6 +34,8 @@ BREAKS = bytes(b for b in range(128) if not chr(b).isalpha())
 _GROUP = 1 << 20
 # Numbers (words by languages) that one step holds, and weights of one table.
 _CELLS, _WEIGHTS = 1 << 22, 1 << 23
+# Bytes of text that the pipeline judges at once, beside what later stages keep in the same worker.
+_JUDGED_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -268,7 +270,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, least_sure: floa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", _JUDGED_BYTES):
             texts = piece.column("text").to_pylist()
             if model.languages:
                 kept = [s >= least_sure and s > 0 for s in _judged(model, texts)[2]]
